@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, packing
+from . import encoding, packing, sentences
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -34,8 +34,12 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p9_placed(spark, d), _capacities(spark, d))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p8_decoded, p9_placed, p9_fill)}
+    return {f.__name__: f for f in (p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
