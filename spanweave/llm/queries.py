@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, packing, sentences
+from . import encoding, mojibake, packing, sentences
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    documents = mojibake.find(table(spark, d, "source_documents"), "document_id", ["name_en", "name_fr", "citation_en", "citation_fr"], "source_documents")
+    return documents.unionByName(mojibake.find(table(spark, d, "journal_pages"), "page_id", ["text"], "journal_pages"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).select("record_table", "record_id", "field").distinct()
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Every affected value with what was written."""
+    return _garbled(spark, d)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +53,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -429,6 +429,9 @@ def _split_long(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
                     [batch.column(0).take(pa.array([n] * len(rows_), pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.bool_())],
                     ["k", "c", "lo", "hi", "base", "t", "last"])
 
+    rows = rows.select(F.struct("k", F.xxhash64("t").alias("h")).alias("k"), "t")
+    kind = f"struct<k: {kind}, h: bigint>"
+    copies = rows.groupBy("k").agg(F.count("*").alias("copies"))
     pieces = rows.mapInArrow(chop, f"k {kind}, c long, lo long, hi long, base long, t string, last boolean")
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -483,7 +486,7 @@ def _split_long(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
     parts = pieces.join(entry, ["k", "c"]).select("k", "c", "lo", "hi", "base", "t", "last", "s").mapInArrow(borders, f"k {kind}, c long, a long, b long, r int")
     inner = parts.where("r = 0").select("k", "a", "b")
     # Pieces at chunk edges: a new unit begins after each piece that reaches a border.
-    edge = parts.where("r > 0")
+    edge = parts.where("r > 0").distinct()
     order = Window.partitionBy("k").orderBy("c", "a", "b")
     starts_new = F.when(F.lag("r").over(order).isin(2, 3) & F.col("r").isin(1, 3) & (F.lag("c").over(order) < F.col("c")), 0).otherwise(1)
     joined = (
@@ -491,4 +494,5 @@ def _split_long(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
         .withColumn("u", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .where("a < b").groupBy("k", "u").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("k", "a", "b")
     )
-    return inner.where("a < b").unionByName(joined)
+    joined = joined.join(copies, "k").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("k", "a", "b")
+    return inner.where("a < b").unionByName(joined).select("k.k", "a", "b")
