@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, mojibake, packing, sentences
+from . import encoding, markup, mojibake, packing, sentences
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +25,22 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
     return _garbled(spark, d)
 
 
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "opinion_records")
+    parts = [records.select(F.col("id").alias("opinion_id"), F.lit(f).alias("field"), F.explode(f).alias("part")) for f in ("renditions", "cluster")]
+    texts = parts[0].unionByName(parts[1]).select("opinion_id", "field", F.col("part.name").alias("part_name"), F.col("part.text").alias("text"))
+    return markup.clean(texts, ["opinion_id", "field", "part_name"], "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cleaned(spark, d).select("opinion_id", "field", "part_name", F.explode("languages").alias("markup")).distinct()
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every text without its markup."""
+    return _cleaned(spark, d)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -53,7 +69,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_clean, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
