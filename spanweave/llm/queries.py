@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, markup, mojibake, packing, sentences
+from . import encoding, markup, mojibake, packing, repeats, sentences
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +41,23 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(spark, d)
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    passages = table(spark, d, "passages").select(F.col("passage_id").alias("id"), "text")
+    return passages.unionByName(table(spark, d, "readings").select(F.col("reading_id").alias("id"), F.col("input.text").alias("text")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.matches(_records(spark, d), "id", "text").select("id_a", "id_b").distinct()
+
+
+def p7_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record stands elsewhere too."""
+    records = _records(spark, d)
+    sizes = records.groupBy("id").agg(F.max(F.length("text")).alias("n_chars"))
+    found = repeats.coverage(repeats.matches(records, "id", "text"))
+    return sizes.join(found, "id", "left").select("id", "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.round(F.coalesce("shared_chars", F.lit(0)) / F.col("n_chars"), 6).alias("share"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -69,7 +86,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_clean, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_clean, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
