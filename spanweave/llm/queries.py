@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, markup, mojibake, packing, repeats, sentences
+from . import encoding, markup, mojibake, packing, repeats, scans, sentences
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.findings(scans.examine(spark, table(spark, d, "journal_pages")))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous repaired paragraphs of every article."""
+    return scans.paragraphs(scans.examine(spark, table(spark, d, "journal_pages"), texts=True))
 
 
 def _garbled(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_restored, p4_found, p4_clean, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_restored, p4_found, p4_clean, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
