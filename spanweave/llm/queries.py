@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, markup, mojibake, packing, repeats, scans, sentences
+from . import encoding, markup, mojibake, packing, repeats, scans, sentences, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,31 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(spark, d)
 
 
+def _authorities(spark: SparkSession, d: str) -> list[str]:
+    # Fixed table of public authorities; it does not grow.
+    return [n for r in table(spark, d, "public_parties").collect() for n in [r.name, r.name_fr, *(r.short_names or [])] if n]
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "source_documents").where("doc_type = 'cases'")
+    names = (
+        table(spark, d, "court_cases").select(F.col("case_id").alias("id"), F.col("case_name").alias("name"), F.lit(False).alias("french"))
+        .unionByName(table(spark, d, "search_hits").select(F.col("hit_id").alias("id"), F.col("case_name").alias("name"), F.lit(False).alias("french")))
+        .unionByName(documents.select(F.col("document_id").alias("id"), F.col("name_en").alias("name"), F.lit(False).alias("french")))
+        .unionByName(documents.select(F.col("document_id").alias("id"), F.col("name_fr").alias("name"), F.lit(True).alias("french"))))
+    return variants.link(cut(variants.mentions(names, "id", "name", "french", _authorities(spark, d))))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.pairs(_linked(spark, d))
+
+
+def p5_parties(spark: SparkSession, d: str) -> DataFrame:
+    """The party of every id that names one, with the number of ids that share it."""
+    linked = cut(_linked(spark, d))
+    return linked.join(linked.groupBy("party").agg(F.count("*").alias("links")), "party").select("id", "party", "links")
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     passages = table(spark, d, "passages").select(F.col("passage_id").alias("id"), "text")
     return passages.unionByName(table(spark, d, "readings").select(F.col("reading_id").alias("id"), F.col("input.text").alias("text")))
@@ -95,7 +120,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_restored, p4_found, p4_clean, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_parties, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
