@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import cut, table
-from . import encoding, markup, mojibake, packing, repeats, scans, sentences, variants
+from . import encoding, markup, matching, mojibake, packing, repeats, scans, sentences, variants
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,18 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return _cleaned(spark, d)
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with their cosine, certainty of the day and confidence."""
+    # Fixed tables of authorities and courts; they do not grow.
+    authorities = [(r.party_id, [n for n in [r.name, r.name_fr, *(r.short_names or [])] if n]) for r in table(spark, d, "public_parties").collect()]
+    courts = [(r.dataset, r.dataset_fr, r.court_name, list(r.reporters or [])) for r in table(spark, d, "courts").collect()]
+    return matching.match(spark, table(spark, d, "court_cases"), table(spark, d, "source_documents"), (authorities, courts))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("case_id", "document_id")
+
+
 def _authorities(spark: SparkSession, d: str) -> list[str]:
     # Fixed table of public authorities; it does not grow.
     return [n for r in table(spark, d, "public_parties").collect() for n in [r.name, r.name_fr, *(r.short_names or [])] if n]
@@ -120,7 +132,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_parties, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_restored, p3_found, p3_matches, p4_found, p4_clean, p5_found, p5_parties, p7_found, p7_shared, p8_ids, p8_decoded, p9_placed, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

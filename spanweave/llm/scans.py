@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,7 @@ EDGE_MARKS = re.compile(r"^[^\w!|]+|[^\w!|]+$|[!|]+$")
 SPLIT_MARK = re.compile(rf"[^\W\d_]([{BREAK_MARKS}]) ?$")
 
 
+@lru_cache(maxsize=1 << 17)
 def norm(token: str) -> str:
     return EDGE_MARKS.sub("", token).lower()
 
@@ -129,6 +131,7 @@ class Lexicon:
     index: dict[str, list[str]] = field(default_factory=dict)
     memo: dict[str, list[tuple[float, str]]] = field(default_factory=dict)
     sure: dict[str, bool] = field(default_factory=dict)
+    fine: set[str] = field(default_factory=set)
     prefixes: set[str] = field(default_factory=set)
 
     def build(self) -> "Lexicon":
@@ -220,7 +223,7 @@ def learn(pages: DataFrame, text: str) -> tuple[Lexicon, int]:
             return pa.RecordBatch.from_arrays([pa.array(["w"] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(ns, pa.int64())], ["kind", "key", "n"])
 
         for batch in batches:
-            two: Counter = Counter()
+            two: Counter = Counter()  # of one batch, so bounded
             for t in batch.column(0).to_pylist():
                 if not t:
                     continue
@@ -307,7 +310,7 @@ def read(text: str, lex: Lexicon) -> Read:
     lines = _lines(text)
     parted, misread = [], []
     tail, first_of_next = "", ""
-    n_lines = len(lines)
+    n_lines, fine = len(lines), lex.fine
     for n, line in enumerate(lines):
         tokens = line.split()
         start = 0
@@ -333,8 +336,12 @@ def read(text: str, lex: Lexicon) -> Read:
                 tail = tokens[-1]
                 parted.append((n, "", False))
         for k in range(start, end):
+            if tokens[k] in fine:
+                continue
             word = norm(tokens[k])
             if lex.trusts(word):
+                if len(fine) < 1 << 18:
+                    fine.add(tokens[k])
                 continue
             for part in INNER.split(word) if not word.isalnum() else (word,):
                 part = part.strip("-'’")
