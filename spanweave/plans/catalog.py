@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchies
+from . import hierarchies, relations, structures, texts
 
-PARTS = (hierarchies,)
+PARTS = (hierarchies, texts, relations, structures)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
