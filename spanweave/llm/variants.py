@@ -53,6 +53,20 @@ def levenshtein_to(codes: np.ndarray, sizes: np.ndarray, pivot: str) -> np.ndarr
     return np.stack(row, axis=1)[np.arange(n), sizes] if n else np.empty(0, np.int16)
 
 
+def tasks(spark) -> int:
+    """Tasks for work that is heavy for its few bytes, so not to be put together by size."""
+    return max(24, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bags(words: list[str]) -> np.ndarray:
+    """How often each sign stands in each word, signs counted in 32 classes."""
+    out = np.zeros((len(words), 32), np.int8)
+    for n, w in enumerate(words):
+        for c in w:
+            out[n, ord(c) & 31] += 1
+    return out
+
+
 def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int = RADIUS, edits: int = EDITS) -> DataFrame:
     """Pairs ``a`` < ``b`` of keys of one block whose words are at most ``edits`` apart
     (Damerau-Levenshtein), found within ``radius`` of Levenshtein's metric, which holds them
@@ -89,7 +103,7 @@ def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int =
     at_home = sized.where("home").withColumn("x", F.pmod(F.xxhash64("k"), F.col("nh"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
     inside = sized.withColumn("y", F.pmod(F.xxhash64("k"), F.col("na"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1)))
     cols = ["b", "c", "x", "y", "k", "w", "v"]
-    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition("b", "c", "x", "y").sortWithinPartitions("b", "c", "x", "y")
+    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(stems.sparkSession), "b", "c", "x", "y").sortWithinPartitions("b", "c", "x", "y")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, right = None, [], []
@@ -101,14 +115,17 @@ def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int =
                 rv = np.frombuffer(b"".join(r[2] for r in right), np.uint8).reshape(len(right), -1).astype(np.int8)
                 order = np.argsort(rv[:, 0], kind="stable")
                 rv = rv[order]
+                lb, rb = bags([r[1] for r in left]), bags([r[1] for r in right])[order]
                 first = rv[:, 0]
                 for n, (k, w, _) in enumerate(left):
                     lo, hi = np.searchsorted(first, lv[n, 0] - radius), np.searchsorted(first, lv[n, 0] + radius, side="right")
                     at = np.arange(lo, hi)
                     for p in range(1, rv.shape[1]):
-                        if len(at) < 4:
+                        if len(at) < 64:
                             break
                         at = at[np.abs(rv[at, p] - lv[n, p]) <= radius]
+                    # An edit changes at most two counts of signs by one each.
+                    at = at[np.abs(rb[at] - lb[n]).sum(1) <= 2 * edits]
                     for m in order[at]:
                         k2, w2, _ = right[m]
                         if k != k2 and damerau(w, w2, edits) <= edits:
