@@ -22,9 +22,10 @@ from ..operators.graph import components
 from ..runtime import cut
 from .names import Authorities, damerau, parties
 
-RADIUS = 3
 #: Edits, a transposition being one, up to which two stems are spellings of one.
 EDITS = 2
+#: A transposition is two of Levenshtein's edits, so this radius holds all of them.
+RADIUS = 2 * EDITS
 #: Pivots are this bounded sample of the stems.
 PIVOTS = 24
 HOME_BLOCK, CELL_BLOCK = 2_000, 20_000
@@ -69,8 +70,7 @@ def bags(words: list[str]) -> np.ndarray:
 
 def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int = RADIUS, edits: int = EDITS) -> DataFrame:
     """Pairs ``a`` < ``b`` of keys of one block whose words are at most ``edits`` apart
-    (Damerau-Levenshtein), found within ``radius`` of Levenshtein's metric, which holds them
-    for up to one transposition. Null or empty words, keys and blocks pair with nothing."""
+    (Damerau-Levenshtein), all found within ``radius`` of Levenshtein's metric. Null or empty words, keys and blocks pair with nothing."""
     rows = stems.select(F.col(key).alias("k"), F.col(block).alias("b"), F.col(word).alias("w")).where("k is not null and b is not null and length(w) > 0")
     rows = cut(rows)
     # A bounded sample: PIVOTS distinct words.
