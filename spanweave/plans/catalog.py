@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hierarchies, relations, structures, texts
+from . import details, hierarchies, relations, structures, texts
 
-PARTS = (hierarchies, texts, relations, structures)
+PARTS = (hierarchies, texts, relations, structures, details)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
