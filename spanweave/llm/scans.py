@@ -295,7 +295,8 @@ def suspicious(word: str, lex: Lexicon, before: str, behind: str) -> str | None:
         return None
     if word.isdigit() or "+" in word:
         return None
-    if NUMBER_LIKE.match(word) and sum(c.isdigit() for c in word) * 2 >= len(word) and not re.search(r"[a-z]{3}", word):
+    mostly = sum(c.isdigit() for c in word) * 2 >= len(word) and not re.search(r"[a-z]{3}", word)
+    if NUMBER_LIKE.match(word) and (mostly or (len(word) > 2 and not re.search(r"[^\dol!|]", word))):
         return word.translate(str.maketrans("oOlIiSsBbZzgq!|", "001115586229911"))
     if len(word) < 3 or not re.search(r"[a-z]", word) or ROMAN.match(word):
         return None
