@@ -170,3 +170,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.document_id: r.text for r in ingest.current(spark, out).collect()} == {1: "a", 2: "b2"}
     ingest.upsert_documents(spark, spark.createDataFrame([(2, "b2")], "document_id long, text string"), out, 1)  # a replay
     assert spark.read.parquet(out).count() == 3
+
+
+def test_staged_write_replaces_whole_tables(spark, tmp_path):
+    from spanweave.sources.sinks import write_staged
+
+    target = str(tmp_path / "t")
+    write_staged(spark.range(5), target)
+    write_staged(spark.range(3), target)
+    assert spark.read.parquet(target).count() == 3 and not (tmp_path / "t.new").exists() and not (tmp_path / "t.old").exists()
