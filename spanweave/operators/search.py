@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -163,13 +164,16 @@ def search(df: DataFrame, key: str, text: str, query: str, limit: int = 50, k1:
     rows = df.where(F.col(text).isNotNull()).select(F.col(key), ws.alias("ws")).select(
         F.col(key), F.size("ws").alias("n"), condition(node, F.col("ws")).alias("hit"),
         *[F.size(F.filter("ws", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
-    totals = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    scored = rows.where("hit").crossJoin(F.broadcast(totals))  # one row of totals
+    # One row of totals; it becomes constants of the plan.
+    total = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("avg_n"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
+    docs, mean = total.docs, float(total.avg_n or 1.0)
+    scored = rows.where("hit")
     score = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        df_i = total[f"df{i}"] or 0
+        idf = F.lit(math.log(1 + (docs - df_i + 0.5) / (df_i + 0.5)))
         tf = F.col(f"tf{i}")
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / F.col("avg_n")))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n") / mean))
     top = scored.select(F.col(key), F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(limit)
     from pyspark.sql import Window
 
