@@ -109,6 +109,33 @@ def test_matching(spark):
     assert matching.match(spark, cases.limit(0), docs.limit(0), about).count() == 0
 
 
+def test_matching_does_not_hang_on_buckets(spark, monkeypatch):
+    """Cut into far too many buckets, and against a comparison of all pairs."""
+    import json
+
+    monkeypatch.setattr(matching, "FILL", 0.01)
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(4)) for _ in range(80)]
+
+    def changed(w):
+        for _ in range(2):
+            k = rng.randrange(1, len(w))
+            w = w[:k] + rng.choice(["", rng.choice("aeioubdk"), w[k:k + 1] + rng.choice("nrst")]) + w[k + 1:]
+        return w.title()
+
+    cases = spark.createDataFrame([(n, f"R. v. Oscar {w.title()}", rng.choice([None, "2000-12-29", "2001"]), None) for n, w in enumerate(stems)], "case_id long, case_name string, date_filed string, citations array<string>")
+    docs = spark.createDataFrame([(100 + n, "cases", "VLCA", None, f"R. v. O. {changed(w)}", None, rng.choice([None, "2001-01-02", "2000"]), None) for n, w in enumerate(stems)],
+                                 "document_id long, doc_type string, dataset string, citation_en string, name_en string, name_fr string, document_date_en string, document_date_fr string")
+    about = ([(1, ["The King", "R."])], [("VLCA", "CAVL", "Court of Appeal", ["Vel. R."])])
+    told = {(r.side, r.id): json.loads(r.about) for r in matching.described(spark, cases, docs, about).collect()}
+    for x in told.values():
+        x.update(people=[matching.Party(*p) for p in x["people"]], date=tuple(x["date"]) if x["date"] else None, dates=[tuple(d) for d in x["dates"]])
+    judged = {(c, d): matching.verdict(x, y) for (s, c), x in told.items() if s == "c" for (t, d), y in told.items() if t == "d"}
+    want = {pair for pair, (same, _) in judged.items() if same}
+    got = {(r.case_id, r.document_id): r.cosine for r in matching.match(spark, cases, docs, about).collect()}
+    assert len(want) > 20 and set(got) == want and all(-1 <= c <= 1.01 for c in got.values())
+
+
 def test_garbled_values(spark):
     df = spark.createDataFrame([(1, "prÃ©", None), (2, "pré", ""), (1, "prÃ©", None), (3, None, "l�")], "id long, a string, b string")
     assert {(r.record_id, r.field, r.restored, r.complete) for r in mojibake.find(df, "id", ["a", "b"], "t").collect()} == {(1, "a", "pré", True), (3, "b", "l�", False)}
