@@ -136,6 +136,14 @@ def test_matching_does_not_hang_on_buckets(spark, monkeypatch):
     assert len(want) > 20 and set(got) == want and all(-1 <= c <= 1.01 for c in got.values())
 
 
+def test_twins_without_a_date_are_kept(spark):
+    cases = spark.createDataFrame([(1, "R. v. Oscar Vengulrow", "1999-03-04", None)], "case_id long, case_name string, date_filed string, citations array<string>")
+    docs = spark.createDataFrame([(51, "VLCA", "1999 VLCA 4", "1999-03-04"), (52, "VLCA", "1999 VLCA 4", None), (53, "VLCA", "1999 VLCA 7", None), (54, "VLCA", None, None), (55, "MHCA", "1999 MHCA 7", None)], "document_id long, dataset string, citation_en string, document_date_en string")
+    docs = docs.selectExpr("*", "'cases' AS doc_type", "'R. v. Oscar Vengulrow' AS name_en", "string(null) AS name_fr", "string(null) AS document_date_fr")
+    about = ([(1, ["The King", "R."])], [("VLCA", "CAVL", "Court of Appeal", ["Vel. R."]), ("MHCA", "CAMH", "Marrow Court", ["Marr. H.R."])])
+    assert {r.document_id: r.day for r in matching.match(spark, cases, docs, about).collect()} == {51: 4, 52: 3, 54: 0, 55: 3}
+
+
 def test_garbled_values(spark):
     df = spark.createDataFrame([(1, "prÃ©", None), (2, "pré", ""), (1, "prÃ©", None), (3, None, "l�")], "id long, a string, b string")
     assert {(r.record_id, r.field, r.restored, r.complete) for r in mojibake.find(df, "id", ["a", "b"], "t").collect()} == {(1, "a", "pré", True), (3, "b", "l�", False)}
