@@ -145,6 +145,13 @@ def test_paragraph_counts(spark):
     assert got == [(1, "bracket"), (2, "bracket"), (3, "bracket")]
 
 
+def test_marked_quotes_of_every_kind_and_length(spark):
+    long = "word " * 200 + "end"
+    text = f'He said "no" and “{long}” or ‘a b’ then « deux mots ».\n  > block with "marks" inside\n>\nlast "one\ntwo" lines'
+    got = [tuple(r) for r in quotes.marked(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t").orderBy("k", "n").collect()]
+    assert got == [(1, n, q) for n, q in enumerate(["no", long, "a b", "deux mots", 'block with "marks" inside'], 1)]
+
+
 def test_quotes_are_located(spark):
     src = [(1, "the landlord kept the deposit of the tenant for a year and a day"), (2, "nothing of the kind was ever said by anyone at all"), (3, None)]
     qs = [(1, "kept the deposit of the tenant for a year"), (2, "short one"), (3, None), (4, "kept the deposit of the lodger for a year and a day")]
