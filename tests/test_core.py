@@ -160,6 +160,20 @@ def test_quotes_are_located(spark):
     assert quotes.opcodes("a b c", "a x c") == [("replace", "b", "x")]
 
 
+def test_quotes_with_spread_changes_are_located(spark, monkeypatch):
+    rng = random.Random(6)
+    src = [(n, " ".join(rng.choice(["the", "of", f"w{rng.randrange(60)}"]) for _ in range(40))) for n in range(30)]
+    qs = [(900, "kept it")]
+    for n in range(60):
+        ws = rng.choice(src)[1].split()[rng.randrange(10):][:rng.randrange(2, 25)]
+        qs.append((n, " ".join(w if k % rng.choice((3, 4, 5, 9)) else "changed" for k, w in enumerate(ws))))
+    monkeypatch.setattr(quotes, "QUOTE_BLOCK", 20)
+    monkeypatch.setattr(quotes, "SOURCE_BLOCK", 10)
+    got = {r.q: (-r.score, r.s) for r in quotes.locate(spark.createDataFrame(qs, "q int, t string"), "q", "t", spark.createDataFrame(src, "s int, t string"), "s", "t").collect()}
+    best = {q: min((-quotes.similarity(t, u), s) for s, u in src) for q, t in qs}
+    assert got == {q: b for q, b in best.items() if -b[0] >= quotes.LEAST} and len(got) > 30
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12))
 def test_similarity_is_a_share(a, b):
