@@ -195,9 +195,9 @@ def _large(rows: DataFrame, kind: str, paths: bool, colocate: int) -> DataFrame:
     return local.unionByName(_huge(huge, paths))
 
 
-def _huge(nodes: DataFrame, paths: bool) -> DataFrame:
-    """Paths by doubling and descendants by counting ancestors, for huge components. Nodes on
-    and below cycles have neither path nor depth; theirs are the descendants off the cycle."""
+def _ways(nodes: DataFrame) -> DataFrame:
+    """``way``: ids from the top of each node to the node itself, by doubling. A node on a cycle
+    is a top."""
     line = cut(nodes.select(
         "scope", "node", "status",
         F.when(F.col("status").isin("child", "below_missing", "below_cycle"), F.col("parent")).alias("next"), F.array("node").alias("way")))
@@ -205,6 +205,13 @@ def _huge(nodes: DataFrame, paths: bool) -> DataFrame:
         other = line.select("scope", F.col("node").alias("next"), F.col("next").alias("next2"), F.col("way").alias("way2"))
         moved = line.where("next is not null").join(other, ["scope", "next"]).select("scope", "node", "status", F.col("next2").alias("next"), F.concat("way2", "way").alias("way"))
         line = cut(moved.unionByName(line.where("next is null")))
+    return line
+
+
+def _huge(nodes: DataFrame, paths: bool) -> DataFrame:
+    """Paths by doubling and descendants by counting ancestors, for huge components. Nodes on
+    and below cycles have neither path nor depth; theirs are the descendants off the cycle."""
+    line = _ways(nodes)
     above = line.select("scope", F.explode(F.slice("way", F.lit(1), F.size("way") - 1)).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("descendants"))
     free = F.col("status").isin("root", "missing_parent", "child", "below_missing")
     return (
@@ -223,8 +230,9 @@ def findings(resolved: DataFrame) -> DataFrame:
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
-    """All pairs of a node and a node below it, with their distance, from the paths."""
-    ids = F.split("path", SEPARATOR)
-    return (
-        resolved.where("path is not null and depth > 1").select("scope", F.col("node").alias("descendant"), "depth", F.posexplode(F.slice(ids, F.lit(1), F.col("depth") - 1)).alias("at", "node"))
-        .select("scope", "node", "descendant", (F.col("depth") - 1 - F.col("at")).cast("int").alias("distance")))
+    """All pairs of a node and a node below it, with their distance; as many for each node as
+    its number of descendants. Below a missing parent the topmost node there is is the first.
+    Nodes on a cycle are below no node, and a node below a cycle is below that node of the
+    cycle which its way up meets first."""
+    return _ways(resolved).where("size(way) > 1").select("scope", F.col("node").alias("descendant"), F.size("way").alias("n"), F.posexplode(F.slice("way", F.lit(1), F.size("way") - 1)).alias("at", "node")).select(
+        "scope", "node", "descendant", (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))

@@ -22,6 +22,12 @@ def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
         F.col("scope").alias("document_id"), F.col("node").alias("node_id"), "status", "depth", F.col("root").alias("root_id"), "path", "descendants")
 
 
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with each of its descendants."""
+    return hierarchy.descendants(_resolved(spark, d, False)).select(
+        F.col("scope").alias("document_id"), F.col("node").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
 _NODES = """
 n AS (SELECT document_id, id, parent_id, level FROM (
         SELECT *, row_number() OVER (PARTITION BY document_id, id ORDER BY seq, loaded_at, parent_id) AS rn
@@ -41,7 +47,7 @@ depths AS (SELECT n.document_id, n.id, n.level, count(up.anc) + 1 AS depth,
              LEFT JOIN n r ON r.document_id = up.document_id AND r.id = up.anc AND r.parent_id IS NULL
            GROUP BY n.document_id, n.id, n.level, n.parent_id)"""
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_hierarchy)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_hierarchy, p6_descendants)}
 SQL = {
     "p6_found": f"""WITH RECURSIVE {_NODES}
 SELECT document_id, id AS node_id, 'cycle' AS finding FROM cyc

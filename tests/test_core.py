@@ -46,6 +46,15 @@ def test_hierarchy_findings(spark):
     assert (1, "a", "c", 2) in below and (1, "b", "c", 1) in below
 
 
+@pytest.mark.parametrize("colocate", [100, 1])
+def test_descendants_are_as_many_as_counted(spark, colocate):
+    rows = [*ROWS, (5, "a/b", None, 1), (5, "c/d", "a/b", 2), (5, "e", "c/d", 3)]
+    res = hierarchy.resolve(forest(spark, rows), "document_id", "id", "parent_id", colocate=colocate)
+    below = [tuple(x) for x in hierarchy.descendants(res).collect()]
+    assert {x for x in below if x[0] in (2, 5)} == {(2, "y", "z", 1), (2, "y", "a", 2), (2, "z", "a", 1), (5, "a/b", "c/d", 1), (5, "a/b", "e", 2), (5, "c/d", "e", 1)}
+    assert {(r.scope, r.node): r.descendants for r in res.collect()} == {(r.scope, r.node): sum(x[:2] == (r.scope, r.node) for x in below) for r in res.collect()}
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.resolve(forest(spark, []), "document_id", "id", "parent_id", "level").count() == 0
 
