@@ -392,107 +392,118 @@ def cuts(text: str, chunk: int) -> list[int]:
     return out
 
 
-def split(df: DataFrame, key: str, text: str, chunk: int = CHUNK) -> DataFrame:
+def split(df: DataFrame, key: str, text: str, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """``key``, ``start_char``, ``end_char`` of every unit of every text, in code points.
 
-    Null, empty and blank texts have none. Repeated keys give repeated units. Other columns
+    Every text is read in chunks, of which a short one has one. The first chunk of a text begins
+    in the first state; the states in which the others begin come from the scan of ``entries``.
+    Null, empty and blank texts have no units. Repeated keys give repeated units. Other columns
     are ignored."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).select(F.struct("k", F.xxhash64("t").alias("h")).alias("k"), "t")
     kind = rows.schema["k"].dataType.simpleString()
-    short = rows.where(F.length("t") <= chunk)
 
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chop(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: tuple[list, ...] = ([], [], [], [], [], [], [])
+                for n, t in enumerate(batch.column(1).to_pylist()):
+                    at = cuts(t, chunk)
+                    for c, (lo, hi) in enumerate(zip(at, [*at[1:], len(t)])):
+                        if (c == 0) is first:
+                            base = max(0, lo - MARGIN)
+                            for col, x in zip(out, (n, c, lo, hi, base, t[base:hi + MARGIN], hi == len(t))):
+                                col.append(x)
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], types))], ["k", "c", "lo", "hi", "base", "t", "last"])
+
+        return run
+
+    schema = f"k {kind}, c long, lo long, hi long, base long, t string, last boolean"
+    # Texts up to the length of a chunk have no second one: they need not be read again here.
+    long_ = rows.where(F.length("t") > chunk)
+    later = long_.mapInArrow(chop(False), schema)
+    heads = long_.mapInArrow(chop(True), schema)
+    entered = entries(heads.unionByName(later).where("not last"), kind, block)
+
+    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units inside each chunk; 1: may go on from the chunk before, 2: into the next, 3: both."""
         for batch in batches:
-            index, starts, ends = [], [], []
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                for a, b in units(t):
-                    index.append(n)
-                    starts.append(a)
-                    ends.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["k", "a", "b"])
+            out: tuple[list, ...] = ([], [], [], [])
+            for n, (c, lo, hi, base, t, last, s) in enumerate(zip(*(x.to_pylist() for x in batch.columns[1:]))):
+                begin = top = lo - base
+                at = [e for e, _ in read(t, STATES[s], top, hi - base)[0]]
+                for e in [*at, None]:
+                    if e is None:
+                        role = (1 if c and not at else 0) + (0 if last else 2)
+                        e = hi - base
+                        if begin >= e:
+                            continue
+                    elif e <= begin and e != top:
+                        continue
+                    else:
+                        role = 1 if begin == top and c else 0
+                    x, y = trim(t, begin, min(e, hi - base))
+                    for col, v in zip(out, (n, x + base, y + base, role)):
+                        col.append(v)
+                    begin = max(begin, e)
+            take = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["k", "c", "a", "b", "r"])
+
+    def opening(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """First chunks, cut and read at once."""
+        for batch in chop(True)(batches):
+            yield from borders([pa.RecordBatch.from_arrays([*batch.columns, pa.array([0] * batch.num_rows, pa.int32())], [*batch.schema.names, "s"])])
+
+    out = f"k {kind}, c long, a long, b long, r int"
+    whole = rows.where((F.length("t") > 0) & (F.length("t") <= chunk)).mapInArrow(opening, out).where("a < b").select("k", "a", "b")
+    rest = later.join(entered, ["k", "c"]).select("k", "c", "lo", "hi", "base", "t", "last", "s").mapInArrow(borders, out)
+    # Of texts with several chunks, pieces on both sides of a chunk's edge are joined: a unit
+    # begins after each piece that reaches a border. Copies of a text are read as one.
+    pieces = long_.mapInArrow(opening, out).unionByName(rest).distinct()
+    order = Window.partitionBy("k").orderBy("c", "a", "b")
+    goes_on = F.lag("r").over(order).isin(2, 3) & F.col("r").isin(1, 3) & (F.lag("c").over(order) < F.col("c"))
+    joined = (
+        pieces.withColumn("new", F.when(goes_on, 0).otherwise(1))
+        .withColumn("u", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where("a < b").groupBy("k", "u").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("k", "a", "b")
+    )
+    copies = long_.groupBy("k").agg(F.count("*").alias("copies"))
+    joined = joined.join(copies, "k").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("k", "a", "b")
+    return whole.unionByName(joined).select(F.col("k.k").alias(key), F.col("a").alias("start_char"), F.col("b").alias("end_char"))
 
-    near = short.mapInArrow(direct, f"k {kind}, a long, b long")
-    far = _split_long(rows.where(F.length("t") > chunk), kind, chunk)
-    return near.unionByName(far).select(F.col("k").alias(key), F.col("a").alias("start_char"), F.col("b").alias("end_char"))
 
+def entries(chunks: DataFrame, kind: str, block: int = BLOCK) -> DataFrame:
+    """``k``, ``c`` and the state ``s`` in which every chunk but the first begins, by a prefix scan
+    over the functions of the chunks before it.
 
-def _split_long(rows: DataFrame, kind: str, chunk: int) -> DataFrame:
-    """Units of long texts: chunk functions, prefix scan, output."""
+    Functions are composed in blocks, the blocks in blocks of blocks; a text of two gigabytes
+    has at most 32 of those at the usual sizes. Then states go down the same tree."""
 
-    def chop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, t in enumerate(batch.column(1).to_pylist()):
-                at = cuts(t, chunk)
-                rows_ = [(c, lo, hi, max(0, lo - MARGIN), t[max(0, lo - MARGIN):hi + MARGIN], hi == len(t)) for c, (lo, hi) in enumerate(zip(at, [*at[1:], len(t)]))]
-                cols = list(zip(*rows_))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array([n] * len(rows_), pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.bool_())],
-                    ["k", "c", "lo", "hi", "base", "t", "last"])
-
-    rows = rows.select(F.struct("k", F.xxhash64("t").alias("h")).alias("k"), "t")
-    kind = f"struct<k: {kind}, h: bigint>"
-    copies = rows.groupBy("k").agg(F.count("*").alias("copies"))
-    pieces = rows.mapInArrow(chop, f"k {kind}, c long, lo long, hi long, base long, t string, last boolean")
     def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.to_pydict()
-            fs, ends = [], []
-            for lo, hi, base, t in zip(d["lo"], d["hi"], d["base"], d["t"]):
-                fs.append(chunk_function(t, lo - base, hi - base))
-                ends.append(0)
+            fs = [chunk_function(t, lo - base, hi - base) for lo, hi, base, t in zip(d["lo"], d["hi"], d["base"], d["t"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fs, pa.list_(pa.int32()))], ["k", "c", "f"])
 
-    fn = pieces.mapInArrow(functions, f"k {kind}, c long, f array<int>").dropDuplicates(["k", "c"])
-
-    # Prefix scan: compose inside blocks, then over blocks, then inside blocks again.
     compose = lambda acc, x: F.transform(acc, lambda s: x[s])
     identity = F.array(*[F.lit(i) for i in range(len(STATES))])
-    in_block = fn.withColumn("b", F.floor(F.col("c") / BLOCK))
-    whole = in_block.groupBy("k", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "f"))), lambda x: x["f"]).alias("fs"))
-    blocks = whole.select("k", "b", "fs", F.aggregate("fs", identity, compose).alias("f"))
-    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    entered = blocks.withColumn("s", F.aggregate(F.collect_list("f").over(before), F.lit(0), lambda s, f: f[s]))
-    # State before each chunk of a block: a running application.
-    steps = F.aggregate(
-        "fs", F.array(F.col("s")), lambda acc, f: F.concat(acc, F.array(f[F.element_at(acc, -1)])))
-    entry = entered.select("k", "b", F.posexplode(steps).alias("n", "s")).select("k", (F.col("b") * BLOCK + F.col("n")).alias("c"), "s")
-
-    def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units inside each chunk, and its open head and tail."""
-        for batch in batches:
-            d = batch.to_pydict()
-            index, starts, ends, role = [], [], [], []
-            for n, (lo, hi, base, t, s, last) in enumerate(zip(d["lo"], d["hi"], d["base"], d["t"], d["s"], d["last"])):
-                at = [e for e, _ in read(t, STATES[s], lo - base, hi - base)[0]]
-                begin = lo - base
-                for e in at:
-                    if e <= begin and e != lo - base:
-                        continue
-                    a, b = trim(t, begin, min(e, hi - base))
-                    index.append(n)
-                    starts.append(a + base)
-                    ends.append(b + base)
-                    role.append(1 if begin == lo - base else 0)  # 1: may go on from the chunk before
-                    begin = max(begin, e)
-                if begin < hi - base:
-                    a, b = trim(t, begin, hi - base)
-                    index.append(n)
-                    starts.append(a + base)
-                    ends.append(b + base)
-                    role.append(3 if begin == lo - base and not at else 2)  # 2: may go on; 3: both
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(role, pa.int32())], ["k", "c", "a", "b", "r"])
-
-    parts = pieces.join(entry, ["k", "c"]).select("k", "c", "lo", "hi", "base", "t", "last", "s").mapInArrow(borders, f"k {kind}, c long, a long, b long, r int")
-    inner = parts.where("r = 0").select("k", "a", "b")
-    # Pieces at chunk edges: a new unit begins after each piece that reaches a border.
-    edge = parts.where("r > 0").distinct()
-    order = Window.partitionBy("k").orderBy("c", "a", "b")
-    starts_new = F.when(F.lag("r").over(order).isin(2, 3) & F.col("r").isin(1, 3) & (F.lag("c").over(order) < F.col("c")), 0).otherwise(1)
-    joined = (
-        edge.withColumn("new", starts_new)
-        .withColumn("u", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .where("a < b").groupBy("k", "u").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("k", "a", "b")
-    )
-    joined = joined.join(copies, "k").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("k", "a", "b")
-    return inner.where("a < b").unionByName(joined).select("k.k", "a", "b")
+    after = lambda fs: lambda s: F.slice(F.aggregate(fs, F.array(s), lambda acc, f: F.concat(acc, F.array(f[F.element_at(acc, -1)]))), 2, 1 << 30)
+
+    def up(rows: DataFrame, at: str, above: str) -> DataFrame:
+        """Rows of one level, ``at`` and ``f``, gathered by the place ``above`` they fall into."""
+        got = rows.groupBy("k", F.floor(F.col(at) / block).alias(above)).agg(F.array_sort(F.collect_list(F.struct(at, "f"))).alias("x"))
+        fs = F.transform("x", lambda x: x["f"])
+        return got.select("k", above, F.element_at("x", 1)[at].alias(at), fs.alias("fs"), F.aggregate(fs, identity, compose).alias("f"))
+
+    def down(level: DataFrame, at: str, entered: DataFrame, above: str) -> DataFrame:
+        """The state after each of the places gathered, as that in which the next one begins."""
+        begun = level.join(entered, ["k", above], "left").withColumn("s", F.coalesce("s", F.lit(0)))
+        return begun.select("k", F.posexplode(after("fs")(F.col("s"))).alias("n", "s"), at).select("k", (F.col(at) + F.col("n") + 1).alias(at), "s")
+
+    fn = chunks.select("k", "c", "lo", "hi", "base", "t", "last").mapInArrow(functions, f"k {kind}, c long, f array<int>").dropDuplicates(["k", "c"])
+    low = up(fn, "c", "b")
+    middle = up(low.select("k", "b", "f"), "b", "bb")
+    top = middle.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("bb", "f"))).alias("x")).select("k", F.lit(0).cast("long").alias("bb"), F.transform("x", lambda x: x["f"]).alias("fs"))
+    of_top = top.select("k", F.posexplode(after("fs")(F.lit(0))).alias("n", "s")).select("k", (F.col("n") + 1).cast("long").alias("bb"), "s")
+    of_blocks = down(middle, "b", of_top, "bb")
+    return down(low, "c", of_blocks, "b")

@@ -34,13 +34,14 @@ def test_packing_is_whole(spark):
     assert packing.pack(df.limit(0), {"small": 12}, "k", "n").count() == 0
 
 
-@pytest.mark.parametrize("chunk", [40, 150])
-def test_chunked_sentences_equal_direct(spark, chunk):
+@pytest.mark.parametrize("chunk, block", [(40, 64), (150, 64), (40, 2), (40, 3)])
+def test_chunked_sentences_equal_direct(spark, chunk, block):
     rng = random.Random(3)
-    texts = [(i, "".join(rng.choice(["The end. ", "“No. Yes,” he said ", "(see p. 4) ", "\n\n", "so\n", "a) x;\n", "他走了。"]) for _ in range(60)), 1, 2) for i in range(25)]
+    texts = [(i, "".join(rng.choice(["The end. ", "“No. Yes,” he said ", "(see p. 4) ", "\n\n", "so\n", "a) x;\n", "他走了。"]) for _ in range(60 if i else 400)), 1, 2) for i in range(25)]
     df = spark.createDataFrame([*texts, (90, None, 1, 2), (91, "", 1, 2), texts[0]], "doc_id long, text string, k int, a int")
     want = sorted(tuple(r) for r in sentences.split(df, "doc_id", "text", chunk=1 << 20).collect())
-    assert sorted(tuple(r) for r in sentences.split(df, "doc_id", "text", chunk=chunk).collect()) == want and want
+    assert sorted(tuple(r) for r in sentences.split(df, "doc_id", "text", chunk=chunk, block=block).collect()) == want and want
+    assert len(want) == sum(len(sentences.units(t)) for _, t, _, _ in [*texts, texts[0]])
 
 
 def test_repeats_equal_brute_force(spark):
