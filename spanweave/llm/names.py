@@ -1,37 +1,18 @@
-"""Parties in names of proceedings, as people type them."""
+"""Parties in names of proceedings, as people type them.
+
+Which words are given names, which are trades, and which short form stands for which word is
+learned from the names themselves (see ``vocabulary``); only the general forms of firms,
+titles and phrases around names are fixed."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 from . import mojibake
 
-# Short and pet forms of given names, with the names they stand for.
-SHORT_FORMS = {
-    "abe": "abraham", "aggie": "agnes", "al": "albert alexander", "alec": "alexander", "alex": "alexander alexandra", "andy": "andrew", "angie": "angela", "barb": "barbara", "becky": "rebecca", "bella": "isabella",
-    "ben": "benjamin", "benj": "benjamin", "benny": "benjamin", "bess": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine",
-    "charlie": "charles", "chas": "charles", "chris": "christopher", "chuck": "charles", "dan": "daniel", "dave": "david", "dick": "richard", "dolly": "dorothy", "don": "donald", "dot": "dorothy", "dottie": "dorothy", "doug": "douglas",
-    "ed": "edward", "eddie": "edward", "ellie": "eleanor", "frank": "francis franklin francois", "fred": "frederick winifred", "freddie": "frederick", "fritz": "frederick gunther", "geo": "george", "greg": "gregory", "guenther": "gunther", "hal": "harold", "harry": "harold henry",
-    "izzy": "isabella", "jas": "james", "jack": "john", "jim": "james", "jimmy": "james", "joe": "joseph", "johnny": "john jonathan", "jon": "jonathan", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "ken": "kenneth",
-    "larry": "lawrence", "len": "leonard", "lena": "helene", "lenny": "leonard", "leo": "leonard", "liz": "elizabeth", "lizzie": "elizabeth", "luke": "lukasz", "maggie": "margaret", "matt": "matthew", "meg": "margaret", "mick": "michael", "mike": "michael",
-    "nat": "nathaniel", "nate": "nathaniel", "ned": "edward", "nick": "nicholas", "nicky": "nicholas", "nico": "nicholas", "ollie": "oliver", "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "penny": "penelope", "pepe": "jose", "pete": "peter", "phil": "philip",
-    "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "robbie": "robert", "ron": "ronald", "sam": "samuel", "saml": "samuel", "sandy": "alexander", "steve": "stephen etienne", "sue": "susannah susan", "susie": "susannah", "ted": "theodore edward",
-    "theo": "theodore", "thos": "thomas", "tim": "timothy", "tom": "thomas tomas", "tommy": "thomas tomas", "tony": "anthony", "tori": "victoria", "trish": "patricia", "ulla": "ursula", "vic": "victor victoria", "vicky": "victoria", "vin": "vincent", "vince": "vincent",
-    "walt": "walter", "will": "william", "winnie": "winifred", "wm": "william", "yoli": "yolanda", "zach": "zachary", "zack": "zachary",
-}
-# Given names that are often typed.
-GIVEN = frozenset(
-    """agnes alexander angela benjamin bjorn charles chloe conceicao dagny dorothy edward elise elizabeth etienne francois frederick gregory gunther harold helene inigo isabella james joao jonathan jose kare katherine
-    leonard lukasz maelle margaret michael nathaniel nicholas noemie oliver oscar patricia penelope raymond renee richard robert samuel soren susannah theodore thomas timothy tomas ursula victor victoria vincent william
-    winifred yolanda zachary zoe david john mary peter paul""".split())
-# Trades in names of firms.
-TRADES = (
-    """asphalt aviation bakery brick cable canning cement dairy dredging drilling electric elevator ferry fisheries foundry freight gas glass grain hardware holdings hosiery insurance ironworks jewellery joinery kiln laundry
-    leasing manufacturing maritime milling mining navigation nursery oil optical orchard paper pipeline plumbing quarry radio rail roofing salt shipping steel tannery textile timber tobacco underwriting utilities
-    varnish vineyard warehouse woollen yarn zinc""".split())
 # Forms of firms and their short forms.
 FORMS = frozenset("cooperative coop corporation corp company co association assn assoc ass'n partnership p'ship pship llp lp brothers bros limited ltd ltee incorporated inc llc plc gmbh sa".split())
 LONG_FORMS = tuple(x for x in FORMS if len(x) > 5)
@@ -114,7 +95,8 @@ class Near:
 
     def __init__(self, words):
         self.by: dict[str, list[str]] = {}
-        for w in words:
+        self.words = sorted(words)
+        for w in self.words:
             for k in self.keys(w):
                 self.by.setdefault(k, []).append(w)
 
@@ -128,31 +110,6 @@ class Near:
         return sorted(w for w in near if damerau(word, w, limit) <= limit)
 
 
-@lru_cache(maxsize=1 << 16)
-def trade_of(token: str) -> str | None:
-    """The trade a word names: spelled out, shortened, or with a typo."""
-    word = token.strip(".,")
-    if word in TRADES:
-        return word
-    if word in ("u/w", "uw"):
-        return "underwriting"
-    if token.endswith(".") and 2 < len(word) <= 6:
-        near = [t for t in TRADES if t.startswith(word)]
-        if len(near) >= 1:
-            return near[0]
-        near = [t for t in TRADES if t[0] == word[0] and _within(word, t)]
-        if near:
-            return near[0]
-    if len(word) >= 4:
-        near = NEAR_TRADES.find(word)
-        if len(near) == 1:
-            return near[0]
-        near = [t for t in TRADES if len(word) >= 5 and t.startswith(word)]
-        if len(near) == 1:
-            return near[0]
-    return None
-
-
 def _within(short: str, long_: str) -> bool:
     it = iter(long_)
     return all(c in it for c in short)
@@ -166,26 +123,113 @@ def form_of(token: str) -> bool:
     return len(word) > 5 and bool(NEAR_FORMS.find(word))
 
 
-@lru_cache(maxsize=1 << 16)
-def given_of(token: str) -> tuple[str, ...]:
-    """Given names a word can stand for."""
-    word = token.strip(".,")
-    if word in SHORT_FORMS:
-        return tuple(SHORT_FORMS[word].split())
-    if word in GIVEN:
-        return (word,)
-    if len(word) >= 4:
-        near = NEAR_GIVEN.find(word)
-        if near:
-            return tuple(near)
-        if len(word) >= 7:
-            near = [g for g in NEAR_GIVEN.find(word, 2) if len(g) >= 7]
+NEAR_FORMS = Near(LONG_FORMS)
+
+
+@dataclass
+class Vocabulary:
+    """Learned marks - the words beside a family's or firm's own name. ``given`` and ``trades``
+    hold for each word the words it stands for, itself or the longer ones. An empty vocabulary
+    leaves the order of words to decide."""
+
+    given: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    trades: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.near_given = Near({x for v in self.given.values() for x in v})
+        self.near_trades = Near({x for v in self.trades.values() for x in v})
+        self.memo: dict[tuple[str, str], tuple[str, ...]] = {}
+
+    def _held(self, kind: str, token: str, find) -> tuple[str, ...]:
+        got = self.memo.get((kind, token))
+        if got is None:
+            if len(self.memo) > 1 << 17:
+                self.memo.clear()
+            got = self.memo[kind, token] = find(token)
+        return got
+
+    def trade_of(self, token: str) -> str | None:
+        """The trade a word names: spelled out, shortened, or with a typo."""
+        got = self._held("t", token, self._trade)
+        return got[0] if got else None
+
+    def _trade(self, token: str) -> tuple[str, ...]:
+        word = token.strip(".,")
+        if word in self.trades:
+            return self.trades[word][:1]
+        whole = self.near_trades.words
+        if token.endswith(".") and 2 < len(word) <= 6:
+            near = [t for t in whole if t.startswith(word)] or [t for t in whole if t[0] == word[0] and _within(word, t)]
+            if near:
+                return (near[0],)
+        if len(word) >= 4:
+            near = self.near_trades.find(word)
             if len(near) == 1:
                 return (near[0],)
-    return ()
-
-
-NEAR_TRADES, NEAR_FORMS, NEAR_GIVEN = Near(TRADES), Near(LONG_FORMS), Near(GIVEN)
+            near = [t for t in whole if len(word) >= 5 and t.startswith(word)]
+            if len(near) == 1:
+                return (near[0],)
+        return ()
+
+    def given_of(self, token: str) -> tuple[str, ...]:
+        """Given names a word can stand for."""
+        return self._held("g", token, self._given)
+
+    def _given(self, token: str) -> tuple[str, ...]:
+        word = token.strip(".,")
+        if word in self.given:
+            return self.given[word]
+        if len(word) >= 4:
+            near = self.near_given.find(word)
+            if near:
+                return tuple(near)
+            if len(word) >= 7:
+                near = [g for g in self.near_given.find(word, 2) if len(g) >= 7]
+                if len(near) == 1:
+                    return (near[0],)
+        return ()
+
+
+#: Share of all pairs of words that a mark must stand in: at most 1/SHARE words are marks.
+SHARE = 5e-5
+#: Pairs that a mark stands in at least.
+LEAST = 4
+#: How many times more partners a mark has than its partners have on average.
+AHEAD = 2.0
+#: Share of its partners that a short form has in common with the word it stands for.
+TOGETHER = 0.2
+#: Share of its partners with a form of firm beside them from which a mark is a trade.
+FIRM = 0.3
+
+
+def two_words(side: str) -> tuple[str, str, bool] | None:
+    """The two words of a side that has just two beside titles, initials and forms of firms,
+    and whether it has such a form."""
+    words, form = [], False
+    for t in plain(side.replace(",", ", ")).split():
+        w = t.strip(".,()")
+        if not w or t in ("the", "&", "of", "late") or w in HONORIFICS:
+            continue
+        if form_of(t):
+            form = True
+        elif len(w) > 1:
+            words.append(w)
+    return (words[0], words[1], form) if len(words) == 2 else None
+
+
+def vocabulary(words: dict[str, tuple[int, float, bool]], together: dict[tuple[str, str], int]) -> Vocabulary:
+    """The vocabulary of marks ``words`` (their partners, those partners' partners on average,
+    whether it is a trade) where ``together`` counts the partners two marks share. A mark
+    stands for the more frequent one of its kind with which it shares partners."""
+    longer: dict[str, list[str]] = {}
+    for (a, b), n in together.items():
+        if words[a][2] == words[b][2] and (words[a][0], a) < (words[b][0], b) and words[a][0] * 1.25 <= words[b][0] and n >= 2 and n >= TOGETHER * words[a][0]:
+            longer.setdefault(a, []).append(b)
+    stands: dict[str, tuple[str, ...]] = {}
+    for w in sorted(words, key=lambda w: (-words[w][0], w)):  # longer forms are resolved first
+        of = [x for b in longer.get(w, ()) for x in stands[b]]
+        stands[w] = tuple(sorted(set(of), key=lambda x: (-words[x][0], x))) or (w,)
+    return Vocabulary({w: v for w, v in stands.items() if not words[w][2]}, {w: v for w, v in stands.items() if words[w][2]})
 
 
 @dataclass(frozen=True)
@@ -199,8 +243,9 @@ class Party:
     middle: str
 
 
-def party(side: str) -> Party | None:
+def party(side: str, known: Vocabulary) -> Party | None:
     """The party a side names."""
+    given_of, trade_of = known.given_of, known.trade_of
     comma = "," in side
     head, _, tail = side.partition(",")
     tokens = [t for t in plain(side.replace(",", ", ")).split() if t not in ("the", "&", "of", "late")]
@@ -211,7 +256,7 @@ def party(side: str) -> Party | None:
     forms = [t for t in cut if form_of(t)]
     rest = [t for t in cut if not form_of(t)]
     trades = [(k, trade_of(t)) for k, t in enumerate(rest)]
-    trades = [(k, t) for k, t in trades if t and (forms or len(rest) > 1) and (forms or rest[k].strip(".,") in TRADES or not given_of(rest[k]))]
+    trades = [(k, t) for k, t in trades if t and (forms or len(rest) > 1) and (forms or rest[k].strip(".,") in known.trades or not given_of(rest[k]))]
     if (forms and rest) or (trades and len(rest) >= 2 and not any(given_of(t) for k, t in enumerate(rest) if k != trades[-1][0])):
         k, trade = trades[-1] if trades else (None, "")
         stem = "".join(re.sub(r"[^a-z0-9]", "", t) for n, t in enumerate(rest) if n != k)
@@ -235,11 +280,11 @@ def party(side: str) -> Party | None:
             at = after[0]
             given = given_of(bare[at]) or (bare[at],)
     if not family:
-        known = [n for n in full if given_of(bare[n])]
-        if known and len(full) > 1:
-            exact = [n for n in known if bare[n] in GIVEN or bare[n] in SHORT_FORMS]
-            at = (exact or known)[0] if full[0] in known or exact else known[-1]
-            if (exact or known) and full[0] in (exact or known):
+        named = [n for n in full if given_of(bare[n])]
+        if named and len(full) > 1:
+            exact = [n for n in named if bare[n] in known.given]
+            at = (exact or named)[0] if full[0] in named or exact else named[-1]
+            if full[0] in (exact or named):
                 at = full[0]
             given = given_of(bare[at])
             family = [n for n in full if n != at]
@@ -284,16 +329,18 @@ class Authorities:
         return any(damerau(k, n, 2 if len(n) >= 14 else 1) <= (2 if len(n) >= 14 else 1) for n in near)
 
 
-def parties(name: str | None, authorities: Authorities, french: bool = False) -> list[Party]:
-    """The private parties of a proceeding's name."""
+def private_sides(name: str | None, authorities: Authorities, french: bool = False) -> list[str]:
+    """The sides of a proceeding's name that are no public authority."""
     if not name or not name.strip():
         return []
-    name = mojibake.restore(name)[1] or ""
+    return [s for s in sides(mojibake.restore(name)[1] or "", french) if s not in authorities]
+
+
+def parties(name: str | None, authorities: Authorities, known: Vocabulary, french: bool = False) -> list[Party]:
+    """The private parties of a proceeding's name."""
     out = []
-    for s in sides(name, french):
-        if s in authorities:
-            continue
-        p = party(s)
+    for s in private_sides(name, authorities, french):
+        p = party(s, known)
         if p and p not in out and len(p.stem) > 1:
             out.append(p)
     return out

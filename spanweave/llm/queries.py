@@ -74,7 +74,8 @@ def _linked(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(table(spark, d, "search_hits").select(F.col("hit_id").alias("id"), F.col("case_name").alias("name"), F.lit(False).alias("french")))
         .unionByName(documents.select(F.col("document_id").alias("id"), F.col("name_en").alias("name"), F.lit(False).alias("french")))
         .unionByName(documents.select(F.col("document_id").alias("id"), F.col("name_fr").alias("name"), F.lit(True).alias("french"))))
-    return variants.link(cut(variants.mentions(names, "id", "name", "french", _authorities(spark, d))))
+    sides = cut(variants.private_sides(names, "id", "name", "french", _authorities(spark, d)))
+    return variants.link(variants.mentions(sides, variants.learn(sides)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,16 +1,23 @@
 """Variant spellings of names, linked by exact radius joins in a metric space.
 
-Distinct spellings, not mentions, are compared. Their stems (family or firm names) live in
-the metric space of Levenshtein's distance. A stem's home is the cell of its nearest pivot.
-By the triangle inequality, whatever lies within the radius r of it has no more than
-d_home + 2 r to that pivot, so a stem is copied into every cell whose pivot is at most
-2 r farther than its nearest one. Each cell then joins the stems at home there with all
-its stems, exactly: pairs whose distances to some pivot differ by more than r are struck out,
-the rest is measured. Cells are cut into blocks of bounded size, so no group is unbounded.
+1. Given names, trades and their short forms are learned from the names: a mark stands beside
+   many different words, a family's or firm's own name beside few, and a short form stands
+   beside the same ones as the word it is short for.
+2. Distinct own names (stems), not mentions, are compared, in the metric space of the true
+   Damerau-Levenshtein distance. Pivots are stems far from each other, about as many as the
+   root of the number of stems. A stem's home is the cell of its nearest pivot. If y within
+   the radius r of x is at home in cell j, then by the triangle inequality x is at most 2 r
+   farther from pivot j than from its own, and its distance to every pivot is within r of the
+   distances that the stems at home in j have; x is copied into the cells that pass both, and
+   only into later ones, so every pair meets once.
+3. Each cell joins the stems at home there with all its stems, exactly. Cells are cut into
+   blocks of bounded size, so no group is unbounded.
+4. Stems that are near, under marks that can be the same, are one party.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,38 +27,91 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..runtime import cut
-from .names import Authorities, damerau, parties
+from . import names
+from .names import Authorities, Vocabulary, damerau
 
 #: Edits, a transposition being one, up to which two stems are spellings of one.
 EDITS = 2
-#: A transposition is two of Levenshtein's edits, so this radius holds all of them.
-RADIUS = 2 * EDITS
-#: Pivots are this bounded sample of the stems.
-PIVOTS = 24
+#: Stems from which pivots are chosen, for each pivot, and at least; a bounded sample.
+CHOICE, CHOICES = 4, 4_096
+#: Distances that go with a stem, to the first pivots.
+HELD = 24
 HOME_BLOCK, CELL_BLOCK = 2_000, 20_000
+#: Signs that a pivot has at most.
 WIDE = 40
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Words as rows of signs, and their lengths; signs beyond WIDE are folded into the last."""
-    out = np.zeros((len(words), WIDE), np.uint32)
+    """Words as rows of signs, and their lengths."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    out = np.zeros((len(words), int(sizes.max()) if len(words) else 0), np.uint32)
     for n, w in enumerate(words):
-        c = [ord(x) for x in w[:WIDE]]
-        out[n, : len(c)] = c
-    return out, np.array([min(len(w), WIDE) for w in words])
-
-
-def levenshtein_to(codes: np.ndarray, sizes: np.ndarray, pivot: str) -> np.ndarray:
-    """Distances of all rows to one word."""
-    n, width = len(codes), int(sizes.max()) if len(sizes) else 0
-    row = [np.full(n, j, np.int16) for j in range(width + 1)]
-    for i, ch in enumerate(pivot[:WIDE], 1):
-        same = codes[:, :width] == ord(ch)
-        before, row[0] = row[0], np.full(n, i, np.int16)
+        out[n, : len(w)] = [ord(x) for x in w]
+    return out, sizes
+
+
+def distances_to(codes: np.ndarray, sizes: np.ndarray, pivot: str) -> np.ndarray:
+    """True Damerau-Levenshtein distances of all rows to one word."""
+    n, width = codes.shape
+    if not n:
+        return np.empty(0, np.int16)
+    top = np.int16(width + len(pivot))
+    # rows[i + 1][j + 1]: distance of the first i signs of the pivot and the first j of the words.
+    rows = np.full((len(pivot) + 2, width + 2, n), top, np.int16)
+    for i in range(len(pivot) + 1):
+        rows[i + 1, 1] = i
+    for j in range(width + 1):
+        rows[1, j + 1] = j
+    last_row = np.zeros((width, n), np.int16)  # last row whose sign is this sign of the word
+    at = np.arange(n)
+    for i, ch in enumerate(pivot, 1):
+        last_col = np.zeros(n, np.int16)
         for j in range(1, width + 1):
-            now = np.minimum(np.minimum(row[j], row[j - 1]) + 1, before + np.where(same[:, j - 1], 0, 1).astype(np.int16))
-            before, row[j] = row[j], now
-    return np.stack(row, axis=1)[np.arange(n), sizes] if n else np.empty(0, np.int16)
+            same = codes[:, j - 1] == ord(ch)
+            v = np.minimum(rows[i, j] + ~same, np.minimum(rows[i + 1, j], rows[i, j + 1]) + 1)
+            swap = np.flatnonzero((last_row[j - 1] > 0) & (last_col > 0))
+            if len(swap):
+                i1, j1 = last_row[j - 1, swap], last_col[swap]
+                v[swap] = np.minimum(v[swap], rows[i1, j1, swap] + (i - i1 - 1) + 1 + (j - j1 - 1))
+            rows[i + 1, j + 1] = v
+            last_col[same] = j
+        for j in range(width):
+            last_row[j][codes[:, j] == ord(ch)] = i
+    return rows[len(pivot) + 1, sizes + 1, at]
+
+
+def distances(words: list[str], pivots: list[str]) -> np.ndarray:
+    """Distances of all words to all pivots, from 255 on as 255, which leaves differences of
+    distances no larger than they are. Words of like length are measured together."""
+    out = np.empty((len(words), len(pivots)), np.uint8)
+    order = sorted(range(len(words)), key=lambda n: len(words[n]))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and len(words[order[hi]]) <= 2 * len(words[order[lo]]) + 8 and (hi - lo) * len(words[order[hi]]) < 1 << 18:
+            hi += 1
+        at = order[lo:hi]
+        codes, sizes = coded([words[n] for n in at])
+        for k, p in enumerate(pivots):
+            out[at, k] = np.minimum(distances_to(codes, sizes, p), 255)
+        lo = hi
+    return out
+
+
+def far_apart(words: list[str], k: int) -> list[str]:
+    """``k`` of ``words``, each as far as can be from those before it."""
+    if not words:
+        return []
+    codes, sizes = coded(words)
+    at, least, out = int(np.argmin(sizes)), None, []
+    while len(out) < min(k, len(words)):
+        out.append(words[at])
+        d = distances_to(codes, sizes, words[at])
+        least = d if least is None else np.minimum(least, d)
+        at = int(np.argmax(least))
+        if least[at] == 0:
+            break
+    return out
 
 
 def tasks(spark) -> int:
@@ -68,42 +128,77 @@ def bags(words: list[str]) -> np.ndarray:
     return out
 
 
-def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int = RADIUS, edits: int = EDITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of keys of one block whose words are at most ``edits`` apart
-    (Damerau-Levenshtein), all found within ``radius`` of Levenshtein's metric. Null or empty words, keys and blocks pair with nothing."""
-    rows = stems.select(F.col(key).alias("k"), F.col(block).alias("b"), F.col(word).alias("w")).where("k is not null and b is not null and length(w) > 0")
-    rows = cut(rows)
-    # A bounded sample: PIVOTS distinct words.
-    pivots = [r.w for r in rows.groupBy("w").agg(F.xxhash64("w").alias("h")).orderBy("h").limit(PIVOTS).collect()]
-    if not pivots:
-        return rows.select(F.col("k").alias("a"), F.col("k").alias("b"))
-    cells = max(1, min(len(pivots), rows.count() // 100_000))
-    kind = rows.schema["k"].dataType.simpleString()
+def placed_in_cells(words: DataFrame, radius: int, cells: int | None = None) -> DataFrame:
+    """``w``, ``c`` (cell), ``home`` and ``v`` (distances to the first pivots) of distinct words
+    ``w``: each in its home cell and in every later one that can hold a word within ``radius``."""
+    spark = words.sparkSession
+    n = words.count()
+    k = cells or max(4, math.ceil(math.sqrt(n)))
+    sample = [r.w for r in words.where(F.length("w") <= WIDE).orderBy(F.xxhash64("w")).limit(max(CHOICES, CHOICE * k)).collect()]
+    pivots = far_apart(sample, k)
+    if not pivots:  # no word, or long ones only, all of one cell
+        pivots = ["a"]
+    k = len(pivots)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = distances(batch.column(0).to_pylist(), pivots)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(axis=1), pa.int32()), pa.array([x.tobytes() for x in d], pa.binary())], ["w", "c", "d"])
+
+    measured = cut(words.repartition(tasks(spark), "w").mapInArrow(measure, "w string, c int, d binary"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.full((k, k), 255, np.uint8), np.zeros((k, k), np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                c = batch.column(0).to_numpy(zero_copy_only=False)
+                d = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, k)
+                np.minimum.at(lo, c, d)
+                np.maximum.at(hi, c, d)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in lo], pa.binary()), pa.array([x.tobytes() for x in hi], pa.binary())], ["c", "lo", "hi"])
+
+    # Two rows of k bytes for each of the k cells and each task: k is the root of the words' number.
+    lo, hi = np.full((k, k), 255, np.int16), np.zeros((k, k), np.int16)
+    for r in measured.select("c", "d").mapInArrow(spans, "c int, lo binary, hi binary").toLocalIterator():
+        lo[r.c] = np.minimum(lo[r.c], np.frombuffer(r.lo, np.uint8))
+        hi[r.c] = np.maximum(hi[r.c], np.frombuffer(r.hi, np.uint8))
+    bounds = spark.sparkContext.broadcast((lo, hi))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lo, hi = bounds.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, sizes = coded(batch.column(2).to_pylist())
-            d = np.stack([levenshtein_to(codes, sizes, p) for p in pivots], axis=1)
-            near = d[:, :cells]
-            least = near.min(axis=1)
-            home = near.argmin(axis=1)
-            row, cell = np.nonzero(near <= (least + 2 * radius)[:, None])
-            vectors = [bytes(x) for x in np.minimum(d, 127).astype(np.uint8)]
+            home = batch.column(1).to_numpy(zero_copy_only=False)
+            raw = batch.column(2).to_pylist()
+            d = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, k).astype(np.int16)
+            near = (d <= d.min(axis=1, keepdims=True) + 2 * radius) & (np.arange(k)[None, :] > home[:, None])
+            row, cell = np.nonzero(near)
+            for q in range(0, k, 16):  # a few pivots at a time strike out most
+                ok = ((d[row, q:q + 16] >= lo[cell, q:q + 16] - radius) & (d[row, q:q + 16] <= hi[cell, q:q + 16] + radius)).all(axis=1)
+                row, cell = row[ok], cell[ok]
+            row, cell = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(cell, pa.int32()), pa.array(home[row] == cell, pa.bool_()), pa.array([vectors[n] for n in row], pa.binary())],
-                ["k", "b", "w", "c", "home", "v"])
-
-    placed = rows.mapInArrow(place, f"k {kind}, b string, w string, c int, home boolean, v binary")
-    placed = cut(placed)
-    sizes = placed.groupBy("b", "c").agg(F.sum(F.col("home").cast("long")).alias("n_home"), F.count("*").alias("n_all"))
-    sized = placed.join(sizes, ["b", "c"]).where("n_home > 0").withColumn("nh", F.ceil(F.col("n_home") / HOME_BLOCK)).withColumn("na", F.ceil(F.col("n_all") / CELL_BLOCK))
-    at_home = sized.where("home").withColumn("x", F.pmod(F.xxhash64("k"), F.col("nh"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
-    inside = sized.withColumn("y", F.pmod(F.xxhash64("k"), F.col("na"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1)))
-    cols = ["b", "c", "x", "y", "k", "w", "v"]
-    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(stems.sparkSession), "b", "c", "x", "y").sortWithinPartitions("b", "c", "x", "y")
+                [batch.column(0).take(take), pa.array(cell, pa.int32()), pa.array(home[row] == cell, pa.bool_()), pa.array([raw[n][:HELD] for n in row], pa.binary())], ["w", "c", "home", "v"])
+
+    return measured.mapInArrow(place, "w string, c int, home boolean, v binary")
+
+
+def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of distinct words at most ``edits`` apart (Damerau-Levenshtein).
+    Null and empty words pair with nothing; repeated words count once."""
+    rows = cut(words.select(F.col(word).alias("w")).where("length(w) > 0").distinct())
+    placed = cut(placed_in_cells(rows, edits, cells))
+    sizes = placed.groupBy("c").agg(F.sum(F.col("home").cast("long")).alias("n_home"), F.count("*").alias("n_all")).where("n_home > 0")
+    # As many rows as cells, the root of the words' number.
+    blocks = sizes.select("c", F.ceil(F.col("n_home") / HOME_BLOCK).alias("nh"), F.ceil(F.col("n_all") / CELL_BLOCK).alias("na"))
+    sized = placed.join(blocks, "c")
+    at_home = sized.where("home").withColumn("x", F.pmod(F.xxhash64("w"), F.col("nh"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
+    inside = sized.withColumn("y", F.pmod(F.xxhash64("w"), F.col("na"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1)))
+    cols = ["c", "x", "y", "w", "v", "home"]
+    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(words.sparkSession), "c", "x", "y").sortWithinPartitions("c", "x", "y")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, right = None, [], []
@@ -111,91 +206,142 @@ def radius_join(stems: DataFrame, key: str, block: str, word: str, radius: int =
         def flush():
             a, b = [], []
             if left and right:
-                lv = np.frombuffer(b"".join(r[2] for r in left), np.uint8).reshape(len(left), -1).astype(np.int8)
-                rv = np.frombuffer(b"".join(r[2] for r in right), np.uint8).reshape(len(right), -1).astype(np.int8)
+                lv, rv = (np.frombuffer(b"".join(r[1] for r in side), np.uint8).reshape(len(side), -1).astype(np.int16) for side in (left, right))
                 order = np.argsort(rv[:, 0], kind="stable")
                 rv = rv[order]
-                lb, rb = bags([r[1] for r in left]), bags([r[1] for r in right])[order]
+                lb, rb = bags([r[0] for r in left]), bags([r[0] for r in right])[order]
                 first = rv[:, 0]
-                for n, (k, w, _) in enumerate(left):
-                    lo, hi = np.searchsorted(first, lv[n, 0] - radius), np.searchsorted(first, lv[n, 0] + radius, side="right")
+                for n, (w, _, _) in enumerate(left):
+                    lo, hi = np.searchsorted(first, lv[n, 0] - edits), np.searchsorted(first, lv[n, 0] + edits, side="right")
                     at = np.arange(lo, hi)
                     for p in range(1, rv.shape[1]):
                         if len(at) < 64:
                             break
-                        at = at[np.abs(rv[at, p] - lv[n, p]) <= radius]
+                        at = at[np.abs(rv[at, p] - lv[n, p]) <= edits]
                     # An edit changes at most two counts of signs by one each.
                     at = at[np.abs(rb[at] - lb[n]).sum(1) <= 2 * edits]
                     for m in order[at]:
-                        k2, w2, _ = right[m]
-                        if k != k2 and damerau(w, w2, edits) <= edits:
-                            a.append(min(k, k2))
-                            b.append(max(k, k2))
-            return pa.RecordBatch.from_arrays([pa.array(a, ty), pa.array(b, ty)], ["a", "b"])
+                        w2, _, home = right[m]
+                        # Two words at home here meet twice, a word from another cell once.
+                        if (w < w2 or (not home and w != w2)) and damerau(w, w2, edits) <= edits:
+                            a.append(min(w, w2))
+                            b.append(max(w, w2))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
-        ty = None
         for batch in batches:
-            ty = batch.column(4).type
-            cols_ = [c.to_pylist() for c in batch.columns]
-            for b_, c, x, y, k, w, v, is_left in zip(*cols_):
-                if (b_, c, x, y) != key:
+            for c, x, y, w, v, home, is_left in zip(*(col.to_pylist() for col in batch.columns)):
+                if (c, x, y) != key:
                     if left:
                         yield flush()
-                    key, left, right = (b_, c, x, y), [], []
-                (left if is_left else right).append((k, w, v))
+                    key, left, right = (c, x, y), [], []
+                (left if is_left else right).append((w, v, home))
         if left:
             yield flush()
 
-    return groups.mapInArrow(join, f"a {kind}, b {kind}").distinct()
+    return groups.mapInArrow(join, "a string, b string")
 
 
-def mentions(names: DataFrame, key: str, name: str, french: str, authorities: list[str]) -> DataFrame:
-    """The private parties of every name: ``id``, ``kind``, ``stem``, ``marks`` (given names or
-    an initial; the trade), ``middle``. Null and blank names, and sides that name a public
-    authority, give none."""
-    rows = names.select(F.col(key).cast("long").alias("id"), F.col(name).cast("string").alias("n"), F.col(french).cast("boolean").alias("f")).where("id is not null and n is not null")
+def private_sides(rows: DataFrame, key: str, name: str, french: str, authorities: list[str]) -> DataFrame:
+    """``id`` and ``side``: the sides of every name that are no public authority. Null and
+    blank names, and null keys, give none."""
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(name).cast("string").alias("n"), F.col(french).cast("boolean").alias("f")).where("id is not null and n is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Authorities(authorities)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            ids, out = [], []
             for i, n, f in zip(*(c.to_pylist() for c in batch.columns)):
-                for p in parties(n, known, bool(f)):
+                for s in names.private_sides(n, known, bool(f)):
+                    ids.append(i)
+                    out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "side"])
+
+    return rows.mapInArrow(run, "id long, side string")
+
+
+def learn(sides: DataFrame) -> Vocabulary:
+    """The vocabulary of given names and trades of all ``side``s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: dict[tuple[str, str], bool] = {}
+            for s in batch.column(0).to_pylist():
+                two = names.two_words(s)
+                if two:
+                    for pair in ((two[0], two[1]), (two[1], two[0])):
+                        got[pair] = got.get(pair, False) or two[2]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in got], pa.string()), pa.array([k[1] for k in got], pa.string()), pa.array(list(got.values()), pa.bool_())], ["word", "beside", "form"])
+
+    pairs = cut(sides.select("side").mapInArrow(run, "word string, beside string, form boolean").groupBy("word", "beside").agg(F.max("form").alias("form")))
+    least = max(names.LEAST, math.ceil(pairs.count() * names.SHARE))
+    counts = cut(pairs.groupBy("word").agg(F.count("*").alias("n"), F.avg(F.col("form").cast("double")).alias("firm")))
+    often = counts.where(F.col("n") >= least)  # at most 1/SHARE words, by the share
+    beside = pairs.join(F.broadcast(often.select("word")), "word").join(counts.select(F.col("word").alias("beside"), F.col("n").alias("m")), "beside")
+    marks = cut(
+        beside.groupBy("word").agg(F.avg("m").alias("mean")).join(often, "word").where(F.col("n") >= names.AHEAD * F.col("mean"))
+        .select("word", "n", "mean", (F.col("firm") >= names.FIRM).alias("trade")))
+    small = F.broadcast(marks.select("word", "trade"))
+    own = pairs.join(small, "word").join(F.broadcast(marks.select(F.col("word").alias("beside"))), "beside", "left_anti").select("beside", "word", "trade")
+    other = own.select("beside", "trade", F.col("word").alias("word2"))
+    together = own.join(other, ["beside", "trade"]).where("word < word2").groupBy("word", "word2").agg(F.count("*").alias("n")).where("n >= 2")
+    of = {r.word: (r.n, r["mean"], r.trade) for r in marks.collect()}
+    # Only words that share much with another: a bounded number for each mark.
+    a, b = marks.select("word", F.col("n").alias("n1")), marks.select(F.col("word").alias("word2"), F.col("n").alias("n2"))
+    close = together.join(F.broadcast(a), "word").join(F.broadcast(b), "word2").where(F.col("n") >= names.TOGETHER * F.least("n1", "n2"))
+    shared: dict[tuple[str, str], int] = {}
+    for r in close.select("word", "word2", "n").collect():
+        shared[r.word, r.word2] = shared[r.word2, r.word] = r.n
+    return names.vocabulary(of, shared)
+
+
+def mentions(sides: DataFrame, known: Vocabulary) -> DataFrame:
+    """The party of every side: ``id``, ``kind``, ``stem``, ``marks`` (given names or an
+    initial; the trade), ``middle``."""
+    shared = sides.sparkSession.sparkContext.broadcast(known)  # at most 1/SHARE words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, s in zip(*(c.to_pylist() for c in batch.columns)):
+                p = names.party(s, shared.value)
+                if p and len(p.stem) > 1:
                     for col, x in zip(out, (i, p.kind, p.stem, p.mark.split("|") if p.mark else [], p.middle)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()))], ["id", "kind", "stem", "marks", "middle"])
 
-    return rows.mapInArrow(run, "id long, kind string, stem string, marks array<string>, middle string")
+    return sides.select("id", "side").mapInArrow(run, "id long, kind string, stem string, marks array<string>, middle string")
 
 
-def link(found: DataFrame) -> DataFrame:
+def link(found: DataFrame, cells: int | None = None) -> DataFrame:
     """``id`` and ``party`` for the mentions: spellings whose stems are near and whose given
     names (or trades) can be the same are one party. An initial joins a full given name only
     where it fits just one party; if it fits several, its spellings stay among themselves."""
-    spelled = found.withColumn("node", F.xxhash64("kind", "stem", F.array_join("marks", "|")))
-    nodes = cut(spelled.groupBy("node").agg(F.first("kind").alias("kind"), F.first("stem").alias("stem"), F.first("marks").alias("marks")))
-    short = (F.col("kind") == "person") & (F.size("marks") == 1) & (F.length(F.element_at("marks", 1)) == 1)
-    blocks = nodes.withColumn("mark", F.explode_outer("marks")).select(
-        "node", "stem", F.concat("kind", F.lit(":"), F.when(F.col("kind") == "person", F.substring("mark", 1, 1)).otherwise(F.col("mark"))).alias("block"), F.coalesce("mark", F.lit("")).alias("mark"))
-    blocks = blocks.withColumn("block", F.coalesce("block", F.lit("?")))
-    near = cut(radius_join(blocks.select("node", "block", "stem").distinct(), "node", "block", "stem"))
-    info = nodes.select("node", "stem", "marks", short.alias("short"))
-    # Equal stems under different marks meet too (their distance is 0), as distinct nodes.
-    ends = near.join(info.select(F.col("node").alias("a"), F.col("marks").alias("ma"), F.col("short").alias("sa")), "a").join(
-        info.select(F.col("node").alias("b"), F.col("marks").alias("mb"), F.col("short").alias("sb")), "b")
-    same = F.arrays_overlap("ma", "mb") | ((F.size("ma") == 0) & (F.size("mb") == 0))
-    strong = ends.where((F.col("sa") == F.col("sb")) & same).select("a", "b")
-    comp = components(strong)
-    parties_ = cut(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("party")))
-    weak = ends.where(F.col("sa") != F.col("sb")).select(F.when(F.col("sa"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("sa"), F.col("b")).otherwise(F.col("a")).alias("full"))
+    group = F.xxhash64("kind", "stem", "mark")
+    spelled = cut(found.select("id", "kind", "stem", "marks").distinct())
+    groups = cut(spelled.select("kind", "stem", F.explode_outer("marks").alias("mark")).distinct().withColumn("g", group))
+    near = radius_join(groups, "stem", cells=cells)
+    near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    side = lambda at, g: groups.select("kind", F.col("stem").alias(at), F.coalesce("mark", F.lit("")).alias("mark"), F.col("g").alias(g))
+    # Equal marks of near stems; a spelling that can be several names joins them.
+    strong = side("a", "ga").join(near.where("a < b"), "a").join(side("b", "gb"), ["b", "kind", "mark"]).select("ga", "gb")
+    several = spelled.where("size(marks) > 1").select(F.transform("marks", lambda m: F.xxhash64("kind", "stem", m)).alias("gs")).distinct().select(F.element_at("gs", 1).alias("ga"), F.explode("gs").alias("gb"))
+    comp = components(strong.unionByName(several), "ga", "gb")
+    parties_ = cut(groups.join(comp, groups.g == comp.node, "left").select("g", "kind", "stem", "mark", F.coalesce("component", "g").alias("party")))
+    person = parties_.where("kind = 'person' and mark is not null").withColumn("first", F.substring("mark", 1, 1))
+    short = person.where("length(mark) = 1").select(F.col("stem").alias("a"), "first", "party")
+    full = person.where("length(mark) > 1").groupBy(F.col("stem").alias("b"), "first").agg(F.min("party").alias("lo"), F.max("party").alias("hi"))
+    alike = near.unionByName(short.select("a", F.col("a").alias("b")).distinct())
     fits = (
-        weak.join(parties_.select(F.col("node").alias("full"), F.col("party").alias("target")), "full").join(parties_, "node")
-        .groupBy("party").agg(F.min("target").alias("lo"), F.max("target").alias("hi")).where("lo = hi").select("party", F.col("lo").alias("target")))
-    final = parties_.join(fits, "party", "left").select("node", F.coalesce("target", "party").alias("party"))
-    return spelled.join(final, "node").select("id", "party").distinct()
+        short.join(alike, "a").join(full, ["b", "first"]).groupBy("party").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .where("lo = hi").select("party", F.col("lo").alias("target")))
+    final = parties_.select("g", "party").join(fits, "party", "left").select("g", F.coalesce("target", "party").alias("party"))
+    mine = spelled.select("id", "kind", "stem", F.when(F.size("marks") > 0, F.element_at("marks", 1)).alias("mark")).select("id", group.alias("g"))
+    return mine.join(final, "g").select("id", "party").distinct()
 
 
-def pairs(linked: DataFrame) -> DataFrame:
-    """All pairs ``id_a`` < ``id_b`` that share a party: the result asked for holds each."""
-    other = linked.select(F.col("id").alias("id_b"), "party")
-    return linked.select(F.col("id").alias("id_a"), "party").join(other, "party").where("id_a < id_b").select("id_a", "id_b").distinct()
+def pairs(linked: DataFrame, salts: int = 16) -> DataFrame:
+    """All pairs ``id_a`` < ``id_b`` that share a party: the result asked for holds each. One
+    side is dealt over ``salts``, so a party with many ids is joined by several tasks."""
+    mine = linked.select(F.col("id").alias("id_a"), "party").withColumn("salt", F.pmod(F.xxhash64("id_a"), F.lit(salts)))
+    other = linked.select(F.col("id").alias("id_b"), "party").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return mine.join(other, ["party", "salt"]).where("id_a < id_b").select("id_a", "id_b").distinct()

@@ -165,6 +165,7 @@ def test_edit_metric_triangle(a, b, c):
     assert names.damerau(a, c, 20) <= names.damerau(a, b, 20) + names.damerau(b, c, 20)
 
 
+WORDS = names.vocabulary({"nathaniel": (90, 2.0, False), "vincent": (80, 2.0, False), "nate": (20, 2.0, False), "holdings": (70, 2.0, True), "gas": (60, 2.0, True)}, {("nate", "nathaniel"): 14})
 KNOWN = names.Authorities(["The King", "R.", "Attorney General of Veland", "AG (Veland)"])
 
 
@@ -172,7 +173,7 @@ KNOWN = names.Authorities(["The King", "R.", "Attorney General of Veland", "AG (
     ("In re Bidivibin, Vincent et al.", [("person", "bidivibin", "vincent")]), ("R. v. Nate Lilaribek", [("person", "lilaribek", "nathaniel")]), ("Estate of S. Zilull ensith v AG (Veland)", [("person", "zilullensith", "s")]),
     ("Holdings Dresinanuz Corp. -v- The King", [("firm", "dresinanuz", "holdings")]), ("Nirenlentuz Gas. Association v. R.", [("firm", "nirenlentuz", "gas")]), (None, []), ("", []), ("R. v. Attorney Gneral of Veland", [])])
 def test_parties(name, stems):
-    assert [(p.kind, p.stem, p.mark) for p in names.parties(name, KNOWN)] == stems
+    assert [(p.kind, p.stem, p.mark) for p in names.parties(name, KNOWN, WORDS)] == stems
 
 
 @pytest.mark.parametrize("text,date", [("1999-03-04", (1999, 3, 4)), ("1999-03", (1999, 3, 0)), ("March 4, 1999", (1999, 3, 4)), ("4 mars 1999", (1999, 3, 4)), (None, None), ("", None), ("none", None)])

@@ -70,30 +70,82 @@ def test_repeats_equal_brute_force(spark):
     assert repeats.matches(df.limit(0), "id", "text").count() == 0
 
 
-def test_radius_join_equals_brute_force(spark):
+@pytest.mark.parametrize("cells", [1, 4, 20])
+def test_radius_join_equals_brute_force(spark, cells):
     from spanweave.llm.names import damerau
 
     rng = random.Random(5)
-    base = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(12)]
-    words = []
+    base = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(30)]
+    words = ["x" * 300, "x" * 299 + "y"]
     for w in base:
-        for _ in range(6):
+        for _ in range(5):
             v = list(w)
             for _ in range(rng.randrange(3)):
-                v[rng.randrange(8)] = rng.choice("abcdefgh")
+                k = rng.randrange(8)
+                v[k] = rng.choice([rng.choice("abcdefgh"), "", v[k] + rng.choice("abc")])
             words.append("".join(v))
-    rows = [(i, "b", w) for i, w in enumerate(words)] + [(900, None, "abc"), (901, "b", None), (902, "b", ""), (903, "c", words[0])]
-    got = {tuple(r) for r in variants.radius_join(spark.createDataFrame(rows, "k long, b string, w string"), "k", "b", "w").collect()}
-    want = {(i, j) for i in range(len(words)) for j in range(i + 1, len(words)) if damerau(words[i], words[j], 2) <= 2}
-    assert got == want
+    df = spark.createDataFrame([(w, 1) for w in [*words, None, "", words[0]]], "w string, c int")
+    got = [tuple(r) for r in variants.radius_join(df, "w", cells=cells).collect()]
+    words = sorted(set(words))
+    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1:] if damerau(a, b, 2) <= 2}
+    assert len(got) == len(set(got)) and set(got) == want and ("x" * 299 + "y", "x" * 300)[::-1] in want
+    if cells > 1:
+        placed = variants.placed_in_cells(df.select("w").where("length(w) > 0").distinct(), 2, cells)
+        assert placed.where("home").count() == len(words) and placed.where("home").select("c").distinct().count() == cells
+    assert variants.radius_join(df.limit(0), "w").count() == 0
+
+
+def test_distances_are_true(spark):
+    from spanweave.llm.names import damerau
+
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    pivots = ["", "ca", "abcabc", "bbbbbbbbb", "acbacb"]
+    assert [list(map(int, r)) for r in variants.distances(words, pivots)] == [[damerau(w, p, 99) for p in pivots] for w in words]
 
 
 def test_variants_are_linked(spark):
-    names_ = [(1, "R. v. Nathaniel Lilaribek"), (2, "Lilaribek, Nate (Re)"), (3, "R. v. N. Lilarbek"), (4, "R. v. Susannah Lilaribek"), (5, "Re Oscar Vengulrow"), (6, None), (7, "R. v. Attorney General"), (1, "R. v. Nathaniel Lilaribek")]
+    names_ = [(1, "R. v. Nathaniel Lilaribek"), (2, "Lilaribek, Nathaniel (Re)"), (3, "R. v. N. Lilarbek"), (4, "R. v. Susannah Lilaribek"), (5, "Re Oscar Vengulrow"), (6, None), (7, "R. v. Attorney General"), (1, "R. v. Nathaniel Lilaribek")]
     df = spark.createDataFrame([(*x, False) for x in names_], "id long, name string, french boolean")
-    m = variants.mentions(df, "id", "name", "french", ["R.", "Attorney General"])
+    sides = variants.private_sides(df, "id", "name", "french", ["R.", "Attorney General"])
+    m = variants.mentions(sides, variants.learn(sides))
     assert {tuple(r) for r in variants.pairs(variants.link(m)).collect()} == {(1, 2), (1, 3), (2, 3)}
-    assert variants.link(m.limit(0)).count() == 0
+    assert variants.link(m.limit(0)).count() == 0 and variants.learn(sides.limit(0)).given == {}
+
+
+def test_marks_are_learned_from_any_vocabulary(spark):
+    """Names of a vocabulary of its own: given names, short forms, trades and typos that no list
+    here holds. Links against the truth."""
+    rng = random.Random(9)
+    given = {"kazuhiko": "kazu", "yevgenia": "zhenya", "olumide": "olu", "siobhan": "shiv", "radoslav": "radko", "wilhelmina": "mina", "takahiro": "taka", "bronislava": "bronya"}
+    trades = {"plastics": "plas.", "robotics": "robo.", "catering": "cat.", "ceramics": "cer.", "logistics": "logi."}
+    word = lambda n: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+
+    def typo(w):
+        k = rng.randrange(1, len(w) - 1)
+        return w[:k] + rng.choice(["", w[k] + rng.choice("aeiou"), rng.choice("bdgk")]) + w[k + 1:]
+
+    rows, truth = [], {}
+    for party in range(260):
+        stem = word(5)
+        firm = party % 2
+        full = rng.choice(sorted(trades if firm else given))
+        for _ in range(5):
+            s = typo(stem) if rng.random() < 0.2 else stem
+            m = (trades if firm else given)[full] if rng.random() < 0.25 else typo(full) if rng.random() < 0.1 else full
+            if firm:
+                side = rng.choice([f"{s} {m} Ltd", f"{s} {m} Limited", f"The {s} {m}", f"{m} {s} Inc."])
+            else:
+                side = rng.choice([f"{m} {s}", f"{s}, {m}", f"{s.upper()} {m}", f"Estate of {m} {s}"])
+            rows.append((len(rows), rng.choice([f"R. v. {side.title()}", f"{side.title()} v. The King", f"Re {side}"]), False))
+            truth.setdefault(party, []).append(len(rows) - 1)
+    df = spark.createDataFrame(rows, "id long, name string, french boolean")
+    sides = variants.private_sides(df, "id", "name", "french", ["R.", "The King"])
+    known = variants.learn(sides)
+    assert known.given["zhenya"] == ("yevgenia",) and known.trades["robo"] == ("robotics",)
+    got = {tuple(r) for r in variants.pairs(variants.link(variants.mentions(sides, known))).collect()}
+    want = {(a, b) for ids in truth.values() for a in ids for b in ids if a < b}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
 def test_matching(spark):
