@@ -180,7 +180,7 @@ def test_matching_does_not_hang_on_buckets(spark, monkeypatch):
     docs = spark.createDataFrame([(100 + n, "cases", "VLCA", None, f"R. v. O. {changed(w)}", None, rng.choice([None, "2001-01-02", "2000"]), None) for n, w in enumerate(stems)],
                                  "document_id long, doc_type string, dataset string, citation_en string, name_en string, name_fr string, document_date_en string, document_date_fr string")
     about = ([(1, ["The King", "R."])], [("VLCA", "CAVL", "Court of Appeal", ["Vel. R."])])
-    told = {(r.side, r.id): json.loads(r.about) for r in matching.described(spark, cases, docs, about).collect()}
+    told = {(r.side, r.id): json.loads(r.about) for r in matching.described(spark, cases, docs, (*about, matching.Vocabulary())).collect()}
     for x in told.values():
         x.update(people=[matching.Party(*p) for p in x["people"]], date=tuple(x["date"]) if x["date"] else None, dates=[tuple(d) for d in x["dates"]])
     judged = {(c, d): matching.verdict(x, y) for (s, c), x in told.items() if s == "c" for (t, d), y in told.items() if t == "d"}
