@@ -41,16 +41,18 @@ HASH_RUN = re.compile(r"^#[ \t]+\S[^\n]*\n#[ \t]+\S", re.M)
 HASH_ONE = re.compile(r"^#[ \t]+\S", re.M)
 
 
-def languages(text: str | None) -> list[str]:
+def languages(text: str | None, root: "Node | None" = None) -> list[str]:
     """Languages of markup in ``text``, of html, markdown, wiki and latex. Null and empty
-    texts have none. A sign that two languages share counts for the one that is there."""
+    texts have none. A sign that two languages share counts for the one that is there. HTML is
+    what gives the tree nodes; the others are looked for in the text that its nodes hold."""
     if not text:
         return []
     out = []
-    if ("<" in text and (TAG.search(text) or COMMENT.search(text))) or ("&" in text and _entity(text)):
+    root = root or parse(text)
+    if root.marked or ("&" in text and _entity(text)):
         out.append("html")
     latex = ("\\" in text and LATEX_STRONG.search(text)) or ("$" in text and LATEX_MATH.search(text))
-    bare = TAG.sub(lambda m: " " if m[2].lower() in INLINE else "\n", COMMENT.sub(" ", text)) if "html" in out else text
+    bare = held(root) if root.marked else text
     if latex:  # quotation marks and groups of LaTeX
         bare = re.sub(r"``|''|[{}]", " ", LATEX_MATH.sub(" ", LATEX_STRONG.sub(" ", bare)))
     wiki = WIKI_STRONG.search(bare)
@@ -72,6 +74,24 @@ def languages(text: str | None) -> list[str]:
     return out
 
 
+def held(root: "Node") -> str:
+    """The text in a tree's nodes: inline tags are spaces, all others line ends."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        mark = " " if n.tag in INLINE else "\n"
+        if n is not root:
+            out.append(mark)
+            if n.closed:
+                todo.append(mark)
+        todo.extend(reversed(n.children))
+    return "".join(out)
+
+
 def _entity(text: str) -> bool:
     return any(html.unescape(m[0]) != m[0] for m in ENTITY.finditer(text))
 
@@ -97,35 +117,50 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     total: float = 0.0
+    closed: bool = False  # by a tag of its own
+    marked: bool = False  # whether the text of the tree has tags or comments
 
 
 def parse(text: str) -> Node:
     """A tree of ``text``; unclosed and stray tags are put right as browsers do."""
     root = Node("body")
+    if "<" not in text:
+        root.children.append(text)
+        return root
     stack = [root]
+    depth: dict[str, list[int]] = {"body": [0]}  # where each tag stands on the stack
     at = 0
-    text = COMMENT.sub(lambda m: html.escape(m[1], quote=False) if m[1] else "", text)
+
+    def leave(k: int) -> None:
+        while len(stack) > k:
+            depth[stack.pop().tag].pop()
+
+    text, n = COMMENT.subn(lambda m: html.escape(m[1], quote=False) if m[1] else " ", text)
+    root.marked = n > 0
     for m in TAG.finditer(text):
+        root.marked = True
         if m.start() > at:
             stack[-1].children.append(text[at:m.start()])
         at = m.end()
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == name:
-                    del stack[k:]
-                    break
+            if name != "body" and depth.get(name):
+                k = depth[name][-1]
+                stack[k].closed = True
+                leave(k)
+            else:  # a stray end
+                stack[-1].children.append(" " if name in INLINE else "\n")
             continue
         ends = CLOSES.get(name, {"p"} if name in OPENS_BLOCK else set())
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ends:
-                del stack[k:]
-                break
-            if stack[k].tag in BARRIER and not (name == "tr" and stack[k].tag == "td"):
-                break
+        open_ = max((depth[t][-1] for t in ends if depth.get(t)), default=0)
+        if open_:
+            barrier = max((depth[t][-1] for t in BARRIER if depth.get(t) and not (name == "tr" and t == "td")), default=0)
+            if open_ > barrier or (open_ == barrier and stack[open_].tag in ends):
+                leave(open_)
         node = Node(name, m[3])
         stack[-1].children.append(node)
         if not m[4] and name not in VOID:
+            depth.setdefault(name, []).append(len(stack))
             stack.append(node)
     if at < len(text):
         stack[-1].children.append(text[at:])
@@ -166,28 +201,48 @@ def measure(root: Node) -> None:
 
 def main_subtree(root: Node) -> tuple[Node, float]:
     """The node with the largest sum of densities, and the least density on the way to it."""
-    best, way = root, [root]
-    todo = [(root, [root])]
+    best, least = root, root.density
+    todo = [(root, root.density)]
     while todo:
-        n, path = todo.pop()
+        n, low = todo.pop()
         if n.total > best.total:
-            best, way = n, path
-        todo.extend((c, [*path, c]) for c in n.children if isinstance(c, Node) and c.tag not in HIDDEN)
-    return best, min(n.density for n in way)
+            best, least = n, low
+        todo.extend((c, min(low, c.density)) for c in n.children if isinstance(c, Node) and c.tag not in HIDDEN)
+    return best, least
 
 
 def _boilerplate(n: Node, threshold: float) -> bool:
-    return n.tag in ("nav", "footer", "aside", "ul", "div", "table", "section", "header") and n.density < threshold and n.link_chars > 0.6 * n.chars and n.link_tags >= 3
+    return n.tag in ("nav", "footer", "aside", "ul", "div", "table", "section", "header") and n.density < threshold and n.link_chars > 0.6 * n.chars
 
 
 SPACE = re.compile(r"[ \t\r\n\f\u00a0\u200b]+")
 
 
-def from_html(text: str) -> str:
-    """``text`` without HTML or XML."""
-    root = parse(text)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 heading center".split())
+
+
+def _plain(root: Node) -> str:
+    """The text below a node, as it stands."""
+    out: list[str] = []
+    todo: list = list(reversed(root.children))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(html.unescape(n))
+        elif n.tag == "br":
+            out.append("\n")
+        elif n.tag not in HIDDEN:
+            todo.extend(reversed(n.children))
+    return "".join(out)
+
+
+def from_html(text: str, root: Node | None = None) -> str:
+    """``text`` without HTML or XML. The subtree with the largest sum of densities is kept
+    whole; outside of it blocks go whose text is mostly links and whose density is under the
+    threshold, the least density on the way from the body to that subtree."""
+    root = root or parse(text)
     measure(root)
-    _, threshold = main_subtree(root)
+    main, threshold = main_subtree(root)
     lines: list[str] = []
     now: list[str] = []
 
@@ -197,71 +252,67 @@ def from_html(text: str) -> str:
         if line:
             lines.append(prefix + line)
 
-    def plain(n: Node) -> str:
-        return "".join(html.unescape(c) if isinstance(c, str) else "\n" if c.tag == "br" else "" if c.tag in HIDDEN else plain(c) for c in n.children)
+    # What is left to do, last first: a child of a node with the prefix of its lines, the
+    # counter of its list and whether it lies in the main subtree; or a line to end.
+    todo: list[tuple] = []
 
-    def walk(n: Node, prefix: str, counter: list[int] | None) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                kept = html.unescape(c)
-                if "\n\n" in kept and n.tag == "body":
-                    for k, part in enumerate(re.split(r"\n\s*\n", kept)):
-                        if k:
-                            flush(prefix)
-                        now.append(part)
-                elif n.tag == "body" and "\n" in kept:
-                    for k, part in enumerate(kept.split("\n")):
-                        if k:
-                            flush(prefix)
-                        now.append(part)
-                else:
-                    now.append(kept)
-                continue
-            tag = c.tag
-            if tag in HIDDEN or (c is not root and _boilerplate(c, threshold)):
-                continue
-            if tag == "br":
-                flush(prefix)
-            elif tag in ("hr", "page-break"):
-                flush(prefix)
-            elif tag == "math" or tag.endswith(":math"):
-                now.append("$" + SPACE.sub(" ", plain(c)).strip() + "$")
-            elif tag == "pre":
-                flush(prefix)
-                lines.append("```\n" + plain(c).strip("\n") + "\n```")
-            elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "heading", "center") or (tag == "p" and 'class="head"' in c.attrs):
-                flush(prefix)
-                walk(c, "", None)
-                flush("#" * (int(tag[1]) if tag[1:].isdigit() else 2) + " ")
-            elif tag in ("ul", "ol"):
-                flush(prefix)
-                walk(c, prefix, [0] if tag == "ol" else None)
-                flush(prefix)
-            elif tag in ("li", "dt", "dd"):
-                flush(prefix)
-                mark = "- "
-                if counter is not None:
-                    counter[0] += 1
-                    mark = f"{counter[0]}. "
-                walk(c, prefix + mark, None)
-                flush(prefix + mark)
-            elif tag == "blockquote":
-                flush(prefix)
-                walk(c, prefix + "> ", None)
-                flush(prefix + "> ")
-            elif tag == "tr":
-                flush(prefix)
-                cells = [SPACE.sub(" ", plain(x)).strip() for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
-                if cells:
-                    lines.append(prefix + " | ".join(cells))
-            elif tag in INLINE or tag in ("footnotemark",):
-                walk(c, prefix, counter)
-            else:
-                flush(prefix)
-                walk(c, prefix, counter)
-                flush(prefix)
+    def enter(n: Node, prefix: str, counter: list[int] | None, inside: bool, end: str | None = None) -> None:
+        if end is not None:
+            todo.append((None, end, None, False, None))
+        todo.extend((c, prefix, counter, inside or n is main, n) for c in reversed(n.children))
 
-    walk(root, "", None)
+    enter(root, "", None, False)
+    while todo:
+        c, prefix, counter, inside, above = todo.pop()
+        if c is None:
+            flush(prefix)
+            continue
+        if isinstance(c, str):
+            kept = html.unescape(c)
+            if above.tag == "body" and "\n" in kept:
+                for k, part in enumerate(re.split(r"\n\s*\n", kept) if "\n\n" in kept else kept.split("\n")):
+                    if k:
+                        flush(prefix)
+                    now.append(part)
+            else:
+                now.append(kept)
+            continue
+        tag = c.tag
+        if tag in HIDDEN or (not inside and c is not main and _boilerplate(c, threshold)):
+            continue
+        if tag in ("br", "hr", "page-break"):
+            flush(prefix)
+        elif tag == "math" or tag.endswith(":math"):
+            now.append("$" + SPACE.sub(" ", _plain(c)).strip() + "$")
+        elif tag == "pre":
+            flush(prefix)
+            lines.append("```\n" + _plain(c).strip("\n") + "\n```")
+        elif tag in HEADINGS or (tag == "p" and 'class="head"' in c.attrs):
+            flush(prefix)
+            enter(c, "", None, inside, "#" * (int(tag[1]) if tag[1:].isdigit() else 2) + " ")
+        elif tag in ("ul", "ol"):
+            flush(prefix)
+            enter(c, prefix, [0] if tag == "ol" else None, inside, prefix)
+        elif tag in ("li", "dt", "dd"):
+            flush(prefix)
+            mark = "- "
+            if counter is not None:
+                counter[0] += 1
+                mark = f"{counter[0]}. "
+            enter(c, prefix + mark, None, inside, prefix + mark)
+        elif tag == "blockquote":
+            flush(prefix)
+            enter(c, prefix + "> ", None, inside, prefix + "> ")
+        elif tag == "tr":
+            flush(prefix)
+            cells = [SPACE.sub(" ", _plain(x)).strip() for x in c.children if isinstance(x, Node) and x.tag in ("td", "th")]
+            if cells:
+                lines.append(prefix + " | ".join(cells))
+        elif tag in INLINE:
+            enter(c, prefix, counter, inside)
+        else:
+            flush(prefix)
+            enter(c, prefix, counter, inside, prefix)
     flush()
     return "\n\n".join(lines)
 
@@ -354,17 +405,18 @@ def from_latex(text: str) -> str:
 def convert(text: str | None) -> tuple[list[str], str | None]:
     """The languages of markup in ``text`` and the text without it. A text without markup,
     null or empty, comes back as it is."""
-    found = languages(text)
+    if not text:
+        return [], text
+    root = parse(text)
+    found = languages(text, root)
     if not found:
         return found, text
     t = text
     if "html" in found:
-        if "markdown" in found or "wiki" in found:  # lines carry structure there
-            t = html.unescape(TAG.sub(lambda m: "" if m[2].lower() in INLINE else "\n", COMMENT.sub("", t)))
-        elif TAG.search(t) or COMMENT.search(t):
-            t = from_html(t)
-        else:
-            t = html.unescape(t)
+        if root.marked and not ("markdown" in found or "wiki" in found):
+            t = from_html(t, root)
+        else:  # lines carry structure there
+            t = html.unescape(TAG.sub(lambda m: "" if m[2].lower() in INLINE else "\n", COMMENT.sub("", t)) if root.marked else t)
     if "latex" in found:
         t = from_latex(t)
     if "wiki" in found:

@@ -196,3 +196,21 @@ def test_misread_words(seen, meant):
 def test_words_parted_at_line_ends():
     r = scans.read("the valua-\ntion of the cost-\nsharing claim", lexicon())
     assert [(w, p) for _, w, p in r.parted] == [("valuation", True), ("cost-sharing", False)]
+
+
+def test_deep_and_unclosed_markup():
+    deep = "<b>" * 100_000 + "x" + "</b>" * 50_000
+    assert markup.convert(deep) == (["html"], "x")
+    assert markup.convert("<div>" * 30_000 + "y &amp; z")[1] == "y & z"
+    assert markup.convert("<p>" * 20_000 + "w")[1] == "w"
+
+
+def test_links_around_the_main_subtree_go():
+    text = "<div><a href=x>Home</a></div><h1>Title</h1><div>" + "<p>The court heard both parties and gave its reasons at length.</p>" * 6 + "<ul><li><a href=y>2001 VLCA 5</a></li></ul></div>"
+    clean = markup.convert(text)[1]
+    assert "Home" not in clean and clean.startswith("# Title") and "2001 VLCA 5" in clean and clean.count("The court heard") == 6
+
+
+def test_look_alikes_are_no_markup():
+    for t in ["a < b and c > d", "costs of $5 and $6", "5 * 3 * 2", "para [12] and [see note]", "x_1 and y_2", "R & D", "1. first\n2. second", "he said: '' nothing", "# of items", "C:\\temp"]:
+        assert markup.languages(t) in ([], ["markdown"]) and (markup.languages(t) == [] or t.startswith("#")), t
