@@ -28,7 +28,8 @@ WRONG_FOR_BYTES = ("cp1251", "cp437", "cp1253", "koi8_r", "iso8859_5", "cp866")
 # Blocks of signs that are expected in correct text.
 EXPECTED = ((0x80, 0x9F), (0xA0, 0x17F), (0x192, 0x192), (0x218, 0x21B), (0x2C6, 0x2DD), (0x370, 0x3FF), (0x400, 0x45F), (0x490, 0x491), (0x1E80, 0x1E9E), (0x2010, 0x2027), (0x2030, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265))
 UTF7 = re.compile(r"\+([A-Za-z0-9/]{2,})(-?)")
-ROUNDS = 4
+#: Code points on either side of a lone sign that show in what script it stands.
+AROUND = 60
 
 
 def decode_loosely(data: bytes, encoding: str) -> str | None:
@@ -147,16 +148,24 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
             elif text[a].isalpha() or 0x2500 <= ord(text[a]) <= 0x25FF:
                 alone.append((a, b, f))
         taken = near
-        # A lone sign counts beside other garbled ones, by a digit, or in a short Latin value.
+        # A lone sign counts beside other garbled ones, by a digit, or in a line that is Latin around it.
         for a, b, f in alone:
             sides = text[max(0, a - 1):a] + text[b:b + 1]
-            if near or (any(x.isdigit() for x in sides) and text[a] != "√") or (len(text) < 200 and not native and any(latin(x) for x in text)):
+            if near or (any(x.isdigit() for x in sides) and text[a] != "√") or _in_latin(text, a, b, native):
                 taken = [*taken, (a, b, f)]
         for a, b, f in taken:
             out.append((a, b, _by_case(text, a, b, f.restored)))
     return sorted(out)
 
 
+def _in_latin(text: str, a: int, b: int, native: set[int]) -> bool:
+    """Whether the words around a sign, within AROUND code points on its line, are Latin ones."""
+    lo = max(text.rfind("\n", max(0, a - AROUND), a) + 1, a - AROUND, 0)
+    end = text.find("\n", b, b + AROUND)
+    hi = min(len(text), b + AROUND) if end < 0 else end
+    return any(latin(text[k]) for k in range(lo, hi)) and not any(k in native for k in range(lo, hi))
+
+
 def _by_case(text: str, a: int, b: int, restored: tuple[str, ...]) -> str:
     """The candidate whose case suits the neighbours."""
     lower = text[b:b + 1].islower() and (text[a - 1:a].islower() or text[a].islower()) or text[a - 1:a].islower()
@@ -207,9 +216,7 @@ def restore(text: str | None) -> tuple[bool, str | None]:
     if "+" in now:
         now, n = _utf7(now)
         garbled |= n > 0
-    for _ in range(ROUNDS):
-        if now.isascii():
-            break
+    while not now.isascii():  # each round leaves fewer garbled signs
         spans = _spans(now)
         if not spans:
             break

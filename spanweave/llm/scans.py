@@ -14,6 +14,7 @@ headers and page numbers; and the repaired, continuous text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -136,7 +137,7 @@ class Lexicon:
 
     def build(self) -> "Lexicon":
         for w in self.counts:
-            if len(w) > 1 and w.isascii() and not w.isdigit():
+            if len(w) > 1 and not w.isdigit():
                 for x in deletes(w):
                     self.index.setdefault(x, []).append(w)
         self.prefixes = {w[:k + 1] for w in self.counts for k, ch in enumerate(w) if ch == "-"}
@@ -163,7 +164,7 @@ class Lexicon:
         got = self.sure.get(word)
         if got is None:
             n = self.counts.get(word)
-            got = n is not None and not (len(word) > 2 and word.isascii() and not ROMAN.match(word) and any(self.counts[w] >= RATIO * n for _, w in self.candidates(word)))
+            got = n is not None and not (len(word) > 2 and not ROMAN.match(word) and any(self.counts[w] >= RATIO * n for _, w in self.candidates(word)))
             if len(self.sure) > 1 << 18:
                 self.sure.clear()
             self.sure[word] = got
@@ -250,7 +251,7 @@ def learn(pages: DataFrame, text: str) -> tuple[Lexicon, int]:
     return Lexicon(words, pairs), total
 
 
-_held: dict[int, Lexicon] = {}
+_held: dict[str, Lexicon] = {}
 
 
 def _lexicon(shared) -> Lexicon:
@@ -291,14 +292,14 @@ def whole_of(left: str, mark: str, right: str, lex: Lexicon) -> tuple[str, bool]
 
 def suspicious(word: str, lex: Lexicon, before: str, behind: str) -> str | None:
     """What a word or number was misread from, or nothing."""
-    if not word or not word.isascii() or lex.trusts(word):
+    if not word or lex.trusts(word):
         return None
     if word.isdigit() or "+" in word:
         return None
     mostly = sum(c.isdigit() for c in word) * 2 >= len(word) and not re.search(r"[a-z]{3}", word)
     if NUMBER_LIKE.match(word) and (mostly or (len(word) > 2 and not re.search(r"[^\dol!|]", word))):
         return word.translate(str.maketrans("oOlIiSsBbZzgq!|", "001115586229911"))
-    if len(word) < 3 or not re.search(r"[a-z]", word) or ROMAN.match(word):
+    if len(word) < 3 or not re.search(r"[^\W\d_]", word) or ROMAN.match(word):
         return None
     return lex.original(word, lex.counts.get(word, 1), before, behind)
 
@@ -471,24 +472,24 @@ def examine(spark: SparkSession, pages: DataFrame, texts: bool = False) -> DataF
         F.col("page_id").cast("long").alias("page_id"), F.col("article_id").cast("long").alias("article_id"), F.col("journal_abbrev").cast("string").alias("journal_abbrev"),
         F.col("pdf_page").cast("int").alias("pdf_page"), F.col("page_label").cast("string").alias("page_label"), F.col("text").cast("string").alias("text"))
     lex, _ = learn(base, "text")
-    shared = spark.sparkContext.broadcast((hash((len(lex.counts), int(lex.bigrams.sum()))), lex.counts, lex.bigrams))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, lex.counts, lex.bigrams))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(shared)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             for t in batch.column(5).to_pylist():
                 r = read(t or "", lexicon)
                 lines = [x for x in r.lines]
-                values = (any(p for _, _, p in r.parted), bool(r.misread), r.tail, lines[:HEAD], lines[-FOOT - 1:], len(lines), _repaired(r) if texts else [])
+                values = (any(p for _, _, p in r.parted), bool(r.misread), r.tail, lines[:HEAD], lines[-FOOT - 1:], len(lines), _repaired(r) if texts else [], xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1)
                 for col, x in zip(out, values):
                     col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], *[pa.array(c, ty) for c, ty in zip(out, (pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string())))]],
-                ["page_id", "article_id", "journal_abbrev", "pdf_page", "page_label", "hyphenation", "misread", "tail", "head", "foot", "n", "lines"])
+                [*batch.columns[:5], *[pa.array(c, ty) for c, ty in zip(out, (pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int32(), pa.list_(pa.string()), pa.int64()))]],
+                ["page_id", "article_id", "journal_abbrev", "pdf_page", "page_label", "hyphenation", "misread", "tail", "head", "foot", "n", "lines", "h"])
 
-    schema = "page_id long, article_id long, journal_abbrev string, pdf_page int, page_label string, hyphenation boolean, misread boolean, tail string, head array<string>, foot array<string>, n int, lines array<string>"
-    seen = cut(base.mapInArrow(look, schema).dropDuplicates(["page_id", "article_id", "pdf_page", "n", "head", "foot"]))
+    schema = "page_id long, article_id long, journal_abbrev string, pdf_page int, page_label string, hyphenation boolean, misread boolean, tail string, head array<string>, foot array<string>, n int, lines array<string>, h long"
+    seen = cut(base.mapInArrow(look, schema).dropDuplicates(["page_id", "article_id", "pdf_page", "h"]))
     keyed = seen.withColumn("article", F.coalesce("article_id", -F.col("page_id") - 1))
     # Of each article: title and author from its first page, how far labels are ahead of pages.
     offset = F.col("page_label").try_cast("int") - F.col("pdf_page")
