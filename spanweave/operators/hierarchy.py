@@ -1,45 +1,47 @@
 """Parent-child rows to full hierarchies: root, depth, path, descendants, cycles.
 
 Rows form, within each scope (a document), a graph in which every node has at most one
-parent. Scopes of up to ``colocate`` rows are whole sets of connected components and are
-co-located by scope. In larger scopes the connected components are found first, by pointer
-jumping (each round doubles the distance known, so the rounds grow with the logarithm of the
-depth); components of up to ``colocate`` rows are then co-located one by one, and larger
-ones keep the results of the jumping, so that no task ever holds an unbounded group.
-
-Co-located groups are walked by an iterative depth-first traversal with node colours: white
-nodes are untouched, grey ones are on the current walk, black ones are done; meeting a grey
-node closes a cycle.
+parent. Its connected components are found first, for every input: each batch of rows is
+contracted by itself, so that only nodes which several batches name are left to be joined,
+and the labels they tie together are made one by ``graph.components``. Components are then
+co-located one by one and walked by an iterative depth-first traversal with node colours:
+white nodes are untouched, grey ones are on the current walk, black ones are done; meeting a
+grey node closes a cycle. A component of more rows than one task may hold is resolved by
+pointer jumping (rounds grow with the logarithm of the depth), so no group is unbounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from .graph import components
 
-#: Rows of a scope or component that one task may hold.
-COLOCATE = 100_000
+#: Rows of a component that one task may hold.
+COLOCATE = 250_000
+#: Rows of components walked together.
+TOGETHER = 10_000
 SEPARATOR = "/"
 
 _OUT = "scope {scope}, node string, parent string, level int, status string, depth int, root string, path string, descendants long"
 
 
-def _walk(ids: list[str], parents: list[str | None], paths: bool):
-    """Status, depth, root, path and number of descendants of each node of a group."""
+def _walk(scopes: list, ids: list[str], parents: list[str | None], paths: bool):
+    """Status, depth, root, path and number of descendants of each node of whole components."""
     n = len(ids)
-    at = {x: i for i, x in enumerate(ids)}
+    at = {x: i for i, x in enumerate(zip(scopes, ids))}
     up = [-1] * n
     status: list[str | None] = [None] * n
     for i, p in enumerate(parents):
         if p is None:
             status[i] = "root"
         else:
-            up[i] = at.get(p, -1)
+            up[i] = at.get((scopes[i], p), -1)
             if up[i] < 0:
                 status[i] = "missing_parent"
     colour = bytearray(n)  # 0 white, 1 grey, 2 black
@@ -88,31 +90,74 @@ def _walk(ids: list[str], parents: list[str | None], paths: bool):
     return status, depth, root, path, size
 
 
-def _co_located(rows: DataFrame, scope_type: str, keys: list[str], paths: bool) -> DataFrame:
-    """Walks of the groups of ``keys``, each held by one task."""
+def _labels(h: np.ndarray, up: np.ndarray, has: np.ndarray) -> np.ndarray:
+    """The component label of every row of a batch, as far as its own rows tell: the least
+    hash of the nodes that its links tie together. Parents without a row tie siblings."""
+    ids, where = np.unique(np.concatenate((h, up[has])), return_inverse=True)
+    a, b = where[:len(h)][has], where[len(h):]
+    label = np.arange(len(ids))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        label = label[label]
+        if (label == before).all():
+            return ids[label[where[:len(h)]]]
+
+
+def with_components(rows: DataFrame, scope: str = "scope", node: str = "node", parent: str = "parent") -> DataFrame:
+    """``rows`` with ``comp``, equal for all rows of one connected component of a scope. (Equal
+    hashes may put two components under one label; none is ever parted.)"""
+    schema = rows.schema
+    hashed = rows.withColumn("h", F.xxhash64(scope, node)).withColumn("up", F.when(F.col(parent).isNotNull(), F.xxhash64(scope, parent)))
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            has = ~batch.column("up").is_null().to_numpy(zero_copy_only=False)
+            up = batch.column("up").fill_null(0).to_numpy(zero_copy_only=False)
+            label = _labels(h, up, has)
+            away = has & ~np.isin(up, h)  # only these parents must be asked for elsewhere
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(away)], [*batch.schema.names, "label", "away"])
+
+    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    local = cut(hashed.mapInArrow(contract, f"{typed}, h long, up long, label long, away boolean"))
+    named = local.select("h", "label").unionByName(local.where("away").select(F.col("up").alias("h"), "label"))
+    shared = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h", "lo")
+    ties = cut(named.join(shared, "h").where("label <> lo").select("lo", "label").distinct())
+    if ties.isEmpty():
+        return local.select(*schema.names, F.col("label").alias("comp"))
+    comp = components(ties, "lo", "label")
+    return local.join(comp, local.label == comp.node, "left").select(*[local[c] for c in schema.names], F.coalesce("component", "label").alias("comp")) if "node" not in schema.names else (
+        local.join(comp.withColumnRenamed("node", "label"), "label", "left").select(*schema.names, F.coalesce("component", "label").alias("comp")))
+
+
+def _co_located(rows: DataFrame, scope_type: str, paths: bool) -> DataFrame:
+    """Walks of the components, each held by one task, many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         key = None
 
         def flush():
-            first: dict[str, tuple] = {}
+            first: dict[tuple, tuple] = {}
             for r in held:  # sorted: the first of rows with one key counts
-                first.setdefault(r[1], r)
-            ids = list(first)
-            parents = [first[x][2] for x in ids]
-            status, depth, root, path, size = _walk(ids, parents, paths)
+                first.setdefault((r[0], r[1]), r)
+            got = list(first.values())
+            scopes, ids, parents = [r[0] for r in got], [r[1] for r in got], [r[2] for r in got]
+            status, depth, root, path, size = _walk(scopes, ids, parents, paths)
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[0][0]] * len(ids), scope_arrow), pa.array(ids, pa.string()), pa.array(parents, pa.string()), pa.array([first[x][3] for x in ids], pa.int32()),
+                [pa.array(scopes, scope_arrow), pa.array(ids, pa.string()), pa.array(parents, pa.string()), pa.array([r[3] for r in got], pa.int32()),
                  pa.array(status, pa.string()), pa.array(depth, pa.int32()), pa.array(root, pa.string()), pa.array(path, pa.string()), pa.array(size, pa.int64())],
                 ["scope", "node", "parent", "level", "status", "depth", "root", "path", "descendants"])
 
         for batch in batches:
             scope_arrow = batch.column(0).type
-            cols = [c.to_pylist() for c in batch.columns]
-            for r in zip(*cols):
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
                 k = (r[0], r[4])
-                if k != key and held:
+                if k != key and len(held) >= TOGETHER:
                     yield flush()
                     held = []
                 key = k
@@ -120,9 +165,8 @@ def _co_located(rows: DataFrame, scope_type: str, keys: list[str], paths: bool)
         if held:
             yield flush()
 
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "node", "o1", "o2", "parent")
-    picked = placed.select("scope", "node", "parent", "level", *( ["comp"] if "comp" in keys else [F.lit(None).cast("string").alias("comp")]))
-    return picked.mapInArrow(run, _OUT.format(scope=scope_type))
+    placed = rows.repartition("scope", "comp").sortWithinPartitions("scope", "comp", "node", "o1", "o2", "parent")
+    return placed.select("scope", "node", "parent", "level", "comp").mapInArrow(run, _OUT.format(scope=scope_type))
 
 
 def resolve(nodes: DataFrame, scope: str, node: str, parent: str, level: str | None = None, order: tuple[str, ...] = (), paths: bool = True, colocate: int = COLOCATE) -> DataFrame:
@@ -142,57 +186,46 @@ def resolve(nodes: DataFrame, scope: str, node: str, parent: str, level: str | N
         (F.col(level).cast("int") if level else F.lit(None).cast("int")).alias("level"), o1.alias("o1"), o2.alias("o2"),
     ).where("scope is not null and node is not null")
     kind = rows.schema["scope"].dataType.simpleString()
-    counts = rows.groupBy("scope").count()
-    most = counts.agg(F.max("count")).first()[0] or 0
-    if most <= colocate:
-        return _co_located(rows, kind, ["scope"], paths)
-    big = counts.where(F.col("count") > colocate).select("scope")
-    small = _co_located(rows.join(big, "scope", "left_anti"), kind, ["scope"], paths)
-    return small.unionByName(_large(rows.join(big, "scope", "left_semi"), kind, paths, colocate))
+    whole = with_components(rows)
+    big = cut(whole.groupBy("scope", "comp").count().where(F.col("count") > colocate).select("scope", "comp"))
+    if big.isEmpty():
+        return _co_located(whole, kind, paths)
+    small = _co_located(whole.join(big, ["scope", "comp"], "left_anti"), kind, paths)
+    return small.unionByName(_large(whole.join(big, ["scope", "comp"], "left_semi").drop("comp"), paths))
 
 
-def _large(rows: DataFrame, kind: str, paths: bool, colocate: int) -> DataFrame:
-    """Results for scopes too large for a task."""
+def _large(rows: DataFrame, paths: bool) -> DataFrame:
+    """Results for components too large for a task."""
     first = rows.groupBy("scope", "node").agg(F.min_by(F.struct("parent", "level"), F.struct("o1", "o2", F.coalesce("parent", F.lit("")))).alias("r"))
     one = cut(first.select("scope", "node", "r.parent", "r.level"))
     there = one.select("scope", F.col("node").alias("parent"), F.lit(True).alias("there"))
     linked = one.join(there, ["scope", "parent"], "left").select(
         "scope", "node", "parent", "level", F.when(F.col("parent").isNull(), "root").when(F.col("there").isNull(), "missing_parent").alias("top"))
-    # far: the ancestor 'dist' steps up; low: the least node on the way; open: no top met yet.
+    # far: the ancestor 'dist' steps up; open: no top met yet.
     state = cut(linked.select(
         "scope", "node", "parent", "level", "top", F.when(F.col("top").isNull(), F.col("parent")).otherwise(F.col("node")).alias("far"),
-        F.when(F.col("top").isNull(), 1).otherwise(0).cast("long").alias("dist"), F.col("node").alias("low"), F.col("top").isNull().alias("open")))
+        F.when(F.col("top").isNull(), 1).otherwise(0).cast("long").alias("dist"), F.col("top").isNull().alias("open")))
     total = one.groupBy("scope").count().agg(F.max("count")).first()[0]
     reach = 1
     while True:
-        step = state.select("scope", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("dist").alias("dist2"), F.col("low").alias("low2"), F.col("open").alias("open2"))
+        step = state.select("scope", F.col("node").alias("far"), F.col("far").alias("far2"), F.col("dist").alias("dist2"), F.col("open").alias("open2"))
         moving, done = state.where("open"), state.where("not open")
         moved = moving.join(step, ["scope", "far"]).select(
-            "scope", "node", "parent", "level", "top", F.col("far2").alias("far"), (F.col("dist") + F.col("dist2")).alias("dist"), F.least("low", "low2").alias("low"), F.col("open2").alias("open"))
+            "scope", "node", "parent", "level", "top", F.col("far2").alias("far"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("open2").alias("open"))
         state = cut(moved.unionByName(done))
         reach *= 2
         if reach > total or state.where("open").isEmpty():
             break
     # Whoever is still open leads into a cycle, and after that many steps stands on it.
     cyclic = state.where("open").select("scope", F.col("far").alias("node"), F.lit(True).alias("on")).distinct()
-    lows = state.where("open").select("scope", F.col("node").alias("far"), F.col("low").alias("cycle_low"))
     tops = state.where("top is not null").select("scope", F.col("node").alias("far"), F.col("top").alias("far_top"))
     whole = (
-        state.join(cyclic, ["scope", "node"], "left").join(lows, ["scope", "far"], "left").join(tops, ["scope", "far"], "left")
+        state.join(cyclic, ["scope", "node"], "left").join(tops, ["scope", "far"], "left")
         .select(
             "scope", "node", "parent", "level", "far", "dist",
             F.when(F.col("on"), "cycle").when(F.col("open"), "below_cycle").when(F.col("top").isNotNull(), F.col("top"))
-            .when(F.col("far_top") == "root", "child").otherwise("below_missing").alias("status"),
-            F.when(F.col("open"), F.col("cycle_low")).otherwise(F.col("far")).alias("comp"), "open"))
-    whole = cut(whole)
-    sizes = whole.groupBy("scope", "comp").count()
-    fits = sizes.where(F.col("count") <= colocate).select("scope", "comp")
-    apart = whole.join(fits, ["scope", "comp"], "left_semi").withColumn("o1", F.lit(None)).withColumn("o2", F.lit(None))
-    local = _co_located(apart.select("scope", "node", "parent", "level", "o1", "o2", "comp"), kind, ["scope", "comp"], paths)
-    huge = cut(whole.join(fits, ["scope", "comp"], "left_anti"))
-    if huge.isEmpty():
-        return local
-    return local.unionByName(_huge(huge, paths))
+            .when(F.col("far_top") == "root", "child").otherwise("below_missing").alias("status")))
+    return _paths(cut(whole), paths)
 
 
 def _ways(nodes: DataFrame) -> DataFrame:
@@ -208,8 +241,8 @@ def _ways(nodes: DataFrame) -> DataFrame:
     return line
 
 
-def _huge(nodes: DataFrame, paths: bool) -> DataFrame:
-    """Paths by doubling and descendants by counting ancestors, for huge components. Nodes on
+def _paths(nodes: DataFrame, paths: bool) -> DataFrame:
+    """Paths by doubling and descendants by counting ancestors, for large components. Nodes on
     and below cycles have neither path nor depth; theirs are the descendants off the cycle."""
     line = _ways(nodes)
     above = line.select("scope", F.explode(F.slice("way", F.lit(1), F.size("way") - 1)).alias("node")).groupBy("scope", "node").agg(F.count("*").alias("descendants"))

@@ -47,6 +47,13 @@ depths AS (SELECT n.document_id, n.id, n.level, count(up.anc) + 1 AS depth,
              LEFT JOIN n r ON r.document_id = up.document_id AND r.id = up.anc AND r.parent_id IS NULL
            GROUP BY n.document_id, n.id, n.level, n.parent_id)"""
 
+_WAYS = f"""{_NODES},
+linked AS (SELECT n.document_id, n.id, n.parent_id FROM n JOIN n p ON p.document_id = n.document_id AND p.id = n.parent_id
+           WHERE NOT EXISTS (SELECT 1 FROM cyc c WHERE c.document_id = n.document_id AND c.id = n.id)),
+way AS (SELECT document_id, id, parent_id AS anc, 1 AS distance FROM linked
+        UNION ALL
+        SELECT w.document_id, w.id, l.parent_id, w.distance + 1 FROM way w JOIN linked l ON l.document_id = w.document_id AND l.id = w.anc)"""
+
 QUERIES = {f.__name__: f for f in (p6_found, p6_hierarchy, p6_descendants)}
 SQL = {
     "p6_found": f"""WITH RECURSIVE {_NODES}
@@ -54,4 +61,18 @@ SELECT document_id, id AS node_id, 'cycle' AS finding FROM cyc
 UNION ALL SELECT document_id, id, 'below_cycle' FROM below
 UNION ALL SELECT document_id, id, 'missing_parent' FROM missing
 UNION ALL SELECT document_id, id, 'wrong_level' FROM depths WHERE rooted AND level IS NOT NULL AND level <> depth""",
+    "p6_descendants": f"""WITH RECURSIVE {_WAYS}
+SELECT document_id, anc AS node_id, id AS descendant_id, CAST(distance AS INTEGER) AS distance FROM way""",
+    "p6_hierarchy": f"""WITH RECURSIVE {_WAYS},
+above AS (SELECT document_id, id, count(*) + 1 AS depth, arg_max(anc, distance) AS top, string_agg(anc, '/' ORDER BY distance DESC) AS over FROM way GROUP BY ALL),
+below_n AS (SELECT document_id, anc AS id, count(*) AS k FROM way GROUP BY ALL),
+named AS (SELECT n.document_id, n.id, coalesce(a.top, n.id) AS top, coalesce(a.depth, 1) AS depth, coalesce(a.over || '/', '') || n.id AS path, coalesce(b.k, 0) AS k
+          FROM n LEFT JOIN above a ON a.document_id = n.document_id AND a.id = n.id LEFT JOIN below_n b ON b.document_id = n.document_id AND b.id = n.id),
+told AS (SELECT m.*, CASE WHEN c.id IS NOT NULL THEN CASE WHEN m.top = m.id THEN 'cycle' ELSE 'below_cycle' END
+                          WHEN t.parent_id IS NULL THEN CASE WHEN m.top = m.id THEN 'root' ELSE 'child' END
+                          WHEN m.top = m.id THEN 'missing_parent' ELSE 'below_missing' END AS status
+         FROM named m JOIN n t ON t.document_id = m.document_id AND t.id = m.top
+              LEFT JOIN cyc c ON c.document_id = m.document_id AND c.id = m.top)
+SELECT document_id, id AS node_id, status, CASE WHEN status NOT LIKE '%cycle' THEN CAST(depth AS INTEGER) END AS depth,
+       CASE WHEN status NOT LIKE '%cycle' THEN top END AS root_id, CASE WHEN status NOT LIKE '%cycle' THEN path END AS path, CAST(k AS BIGINT) AS descendants FROM told""",
 }

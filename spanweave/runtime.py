@@ -47,13 +47,24 @@ def ensure_shared(spark: SparkSession) -> str:
     return folder
 
 
+#: Estimated bytes from which an estimate is no more than products of earlier estimates.
+UNLIKELY = 1 << 50
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: short lineage that
-    survives the loss of executors."""
+    survives the loss of executors.
+
+    A checkpoint keeps the estimated size of its plan. In loops of joins these estimates
+    multiply from round to round until planning drowns in them, so absurd ones are dropped."""
     ensure_shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if row_bytes_estimate(out) < UNLIKELY:
+        return out
+    rows = out._jdf.queryExecution().toRdd()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), df.sparkSession)
 
 
 def row_bytes_estimate(df: DataFrame) -> int:
-    """Catalyst's own size estimate of a plan, for guarded broadcasts."""
+    """Catalyst's own size estimate of a plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -65,6 +65,26 @@ def test_deep_chain_both_ways(spark):
     assert a.keys() == b.keys() and all(tuple(a[k]) == tuple(b[k]) for k in a) and a[1, "n299"].depth == 300
 
 
+def test_components_across_batches(spark):
+    """Rows in random order over many small batches: one label for each tree, shared missing
+    parents and repeated rows included."""
+    rng = random.Random(4)
+    rows = [(t % 3, f"{t}.{i}", f"{t}.{rng.randrange(i)}" if i else None, None) for t in range(12) for i in range(40)] + [(7, f"m{i}", "gone", None) for i in range(9)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = forest(spark, [*rows, *rows[:30]]).select("document_id", "id", "parent_id").repartition(5)
+        got = [tuple(r) for r in hierarchy.with_components(df, "document_id", "id", "parent_id").collect()]
+        full = resolved(forest(spark, [*rows, *rows[:30]]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    label = {}
+    for d, i, _, c in got:
+        label.setdefault((d, i.split(".")[0] if d != 7 else "m"), set()).add(c)
+    assert len(got) == len(rows) + 30 and len(label) == 13 and all(len(v) == 1 for v in label.values()) and len({min(v) for v in label.values()}) == 13
+    assert len(full) == len(rows) and all(full[t % 3, f"{t}.0"].descendants == 39 for t in range(12))
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(None, 3), (5, 5)]
