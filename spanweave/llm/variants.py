@@ -43,11 +43,11 @@ WIDE = 40
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Words as rows of signs, and their lengths."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(words), int(sizes.max()) if len(words) else 0), np.uint32)
-    for n, w in enumerate(words):
-        out[n, : len(w)] = [ord(x) for x in w]
-    return out, sizes
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    width = int(sizes.max()) if len(words) else 0
+    if not width:
+        return np.zeros((len(words), 0), np.uint32), sizes
+    return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width), sizes
 
 
 def distances_to(codes: np.ndarray, sizes: np.ndarray, pivot: str) -> np.ndarray:
@@ -55,29 +55,68 @@ def distances_to(codes: np.ndarray, sizes: np.ndarray, pivot: str) -> np.ndarray
     n, width = codes.shape
     if not n:
         return np.empty(0, np.int16)
-    top = np.int16(width + len(pivot))
-    # rows[i + 1][j + 1]: distance of the first i signs of the pivot and the first j of the words.
-    rows = np.full((len(pivot) + 2, width + 2, n), top, np.int16)
+    kind = np.int8 if width + len(pivot) < 120 else np.int16
+    # rows[i + 1, j + 1]: distance of the first i signs of the pivot and the first j of the words.
+    rows = np.empty((len(pivot) + 2, width + 2, n), kind)
+    rows[0] = rows[:, 0] = width + len(pivot)
     for i in range(len(pivot) + 1):
         rows[i + 1, 1] = i
     for j in range(width + 1):
         rows[1, j + 1] = j
-    last_row = np.zeros((width, n), np.int16)  # last row whose sign is this sign of the word
-    at = np.arange(n)
+    last_row = np.zeros((width, n), kind)  # last row whose sign is this sign of the word
+    signs = np.ascontiguousarray(codes.T)
     for i, ch in enumerate(pivot, 1):
-        last_col = np.zeros(n, np.int16)
+        same = signs == ord(ch)
+        change = (~same).view(np.int8)
+        above = (last_row == i - 1) & (last_row > 0)
+        met = last_row > 0
+        last_col = np.zeros(n, kind)
         for j in range(1, width + 1):
-            same = codes[:, j - 1] == ord(ch)
-            v = np.minimum(rows[i, j] + ~same, np.minimum(rows[i + 1, j], rows[i, j + 1]) + 1)
-            swap = np.flatnonzero((last_row[j - 1] > 0) & (last_col > 0))
-            if len(swap):
-                i1, j1 = last_row[j - 1, swap], last_col[swap]
-                v[swap] = np.minimum(v[swap], rows[i1, j1, swap] + (i - i1 - 1) + 1 + (j - j1 - 1))
+            v = np.minimum(rows[i, j + 1], rows[i + 1, j])
+            v += 1
+            np.minimum(v, rows[i, j] + change[j - 1], out=v)
+            # Swapped signs with others between them on both sides never cost less than changes.
+            swap = above[j - 1] & (last_col > 0)
+            if j > 1:
+                swap |= met[j - 1] & same[j - 2]
+            if swap.any():
+                at = np.flatnonzero(swap)
+                i1, j1 = last_row[j - 1, at], last_col[at]
+                v[at] = np.minimum(v[at], rows[i1, j1, at] + (i - i1 - 1) + 1 + (j - j1 - 1))
             rows[i + 1, j + 1] = v
-            last_col[same] = j
-        for j in range(width):
-            last_row[j][codes[:, j] == ord(ch)] = i
-    return rows[len(pivot) + 1, sizes + 1, at]
+            np.copyto(last_col, kind(j), where=same[j - 1])
+        np.copyto(last_row, kind(i), where=same)
+    return rows[len(pivot) + 1, sizes + 1, np.arange(n)]
+
+
+def within(left: list[str], right: list[str], limit: int) -> np.ndarray:
+    """Whether each word of ``left`` is at most ``limit`` true Damerau-Levenshtein edits from
+    the word of ``right`` at its place. Only the band of cells that can be so near is filled."""
+    n = len(left)
+    if not n:
+        return np.zeros(0, bool)
+    (a, la), (b, lb) = coded(left), coded(right)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    far = limit + 1
+    rows = np.full((a.shape[0] + 2, b.shape[0] + 2, n), far, np.int8)
+    for i in range(min(limit, a.shape[0]) + 1):
+        rows[i + 1, 1] = i
+    for j in range(min(limit, b.shape[0]) + 1):
+        rows[1, j + 1] = j
+    for i in range(1, a.shape[0] + 1):
+        lo, hi = max(1, i - limit), min(b.shape[0], i + limit)
+        for j in range(lo, hi + 1):
+            v = np.minimum(rows[i, j + 1], rows[i + 1, j])
+            v += 1
+            np.minimum(v, rows[i, j] + (a[i - 1] != b[j - 1]), out=v)
+            # A swap with k signs between on one side costs 1 + k.
+            for k in range(limit):
+                if i > 1 + k and j > 1:
+                    np.minimum(v, np.where((a[i - 1] == b[j - 2]) & (a[i - 2 - k] == b[j - 1]), rows[i - 1 - k, j - 1] + (1 + k), far), out=v)
+                if k and i > 1 and j > 1 + k:
+                    np.minimum(v, np.where((a[i - 1] == b[j - 2 - k]) & (a[i - 2] == b[j - 1]), rows[i - 1, j - 1 - k] + (1 + k), far), out=v)
+            rows[i + 1, j + 1] = np.minimum(v, far)
+    return rows[la + 1, lb + 1, np.arange(n)] <= limit
 
 
 def distances(words: list[str], pivots: list[str]) -> np.ndarray:
@@ -88,12 +127,12 @@ def distances(words: list[str], pivots: list[str]) -> np.ndarray:
     lo = 0
     while lo < len(order):
         hi = lo + 1
-        while hi < len(order) and len(words[order[hi]]) <= 2 * len(words[order[lo]]) + 8 and (hi - lo) * len(words[order[hi]]) < 1 << 18:
+        while hi < len(order) and len(words[order[hi]]) <= len(words[order[lo]]) + 4 and (hi - lo) * len(words[order[hi]]) < 1 << 18:
             hi += 1
         at = order[lo:hi]
         codes, sizes = coded([words[n] for n in at])
         for k, p in enumerate(pivots):
-            out[at, k] = np.minimum(distances_to(codes, sizes, p), 255)
+            out[at, k] = np.minimum(distances_to(codes, sizes, p).astype(np.int16), 255)
         lo = hi
     return out
 
@@ -120,11 +159,16 @@ def tasks(spark) -> int:
 
 
 def bags(words: list[str]) -> np.ndarray:
-    """How often each sign stands in each word, signs counted in 32 classes."""
-    out = np.zeros((len(words), 32), np.int8)
-    for n, w in enumerate(words):
-        for c in w:
-            out[n, ord(c) & 31] += 1
+    """How often each sign stands in each word, in its first five signs and in its last five,
+    signs counted in 32 classes. An edit changes each of the three by two counts at most."""
+    codes, sizes = coded(words)
+    out = np.zeros((len(words), 3, 32), np.int8)
+    at = np.arange(len(words))
+    for j in range(codes.shape[1]):
+        has = sizes > j
+        for part, here in enumerate((has, has & (j < 5), has & (sizes - j <= 5))):
+            n = at[here]
+            out[n, part, codes[here, j] & 31] += 1
     return out
 
 
@@ -198,6 +242,17 @@ def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | No
     at_home = sized.where("home").withColumn("x", F.pmod(F.xxhash64("w"), F.col("nh"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
     inside = sized.withColumn("y", F.pmod(F.xxhash64("w"), F.col("na"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1)))
     cols = ["c", "x", "y", "w", "v", "home"]
+
+    def near(x: list[str], y: list[str], edits: int) -> np.ndarray:
+        """``within``, long words one by one."""
+        short = np.array([len(p) <= WIDE and len(q) <= WIDE for p, q in zip(x, y)], bool)
+        out = np.zeros(len(x), bool)
+        at = np.flatnonzero(short)
+        out[at] = within([x[k] for k in at], [y[k] for k in at], edits)
+        for k in np.flatnonzero(~short):
+            out[k] = damerau(x[k], y[k], edits) <= edits
+        return out
+
     groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(words.sparkSession), "c", "x", "y").sortWithinPartitions("c", "x", "y")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +261,36 @@ def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | No
         def flush():
             a, b = [], []
             if left and right:
+                lw, rw = [r[0] for r in left], [r[0] for r in right]
                 lv, rv = (np.frombuffer(b"".join(r[1] for r in side), np.uint8).reshape(len(side), -1).astype(np.int16) for side in (left, right))
                 order = np.argsort(rv[:, 0], kind="stable")
                 rv = rv[order]
-                lb, rb = bags([r[0] for r in left]), bags([r[0] for r in right])[order]
+                lb, rb = bags(lw), bags(rw)
                 first = rv[:, 0]
-                for n, (w, _, _) in enumerate(left):
+                mine, theirs = [], []
+                for n in range(len(left)):
                     lo, hi = np.searchsorted(first, lv[n, 0] - edits), np.searchsorted(first, lv[n, 0] + edits, side="right")
                     at = np.arange(lo, hi)
-                    for p in range(1, rv.shape[1]):
+                    for p in range(1, rv.shape[1], 4):
                         if len(at) < 64:
                             break
-                        at = at[np.abs(rv[at, p] - lv[n, p]) <= edits]
-                    # An edit changes at most two counts of signs by one each.
-                    at = at[np.abs(rb[at] - lb[n]).sum(1) <= 2 * edits]
-                    for m in order[at]:
-                        w2, _, home = right[m]
-                        # Two words at home here meet twice, a word from another cell once.
-                        if (w < w2 or (not home and w != w2)) and damerau(w, w2, edits) <= edits:
-                            a.append(min(w, w2))
-                            b.append(max(w, w2))
+                        at = at[(np.abs(rv[at, p:p + 4] - lv[n, p:p + 4]) <= edits).all(axis=1)]
+                    mine.append(np.full(len(at), n))
+                    theirs.append(order[at])
+                i, j = np.concatenate(mine), np.concatenate(theirs)
+                # Two words at home here meet twice, a word from another cell once.
+                home, rank = np.array([r[2] for r in right]), {w: k for k, w in enumerate(sorted({*lw, *rw}))}
+                lr, rr = np.array([rank[w] for w in lw]), np.array([rank[w] for w in rw])
+                once = (lr[i] < rr[j]) | (~home[j] & (lr[i] != rr[j]))
+                i, j = i[once], j[once]
+                for lo in range(0, len(i), 1 << 15):
+                    u, v = i[lo:lo + (1 << 15)], j[lo:lo + (1 << 15)]
+                    like = (np.abs(lb[u] - rb[v]).sum(axis=2) <= 2 * edits).all(axis=1)
+                    u, v = u[like], v[like]
+                    x, y = [lw[k] for k in u], [rw[k] for k in v]
+                    for k in np.flatnonzero(near(x, y, edits)):
+                        a.append(min(x[k], y[k]))
+                        b.append(max(x[k], y[k]))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
         for batch in batches:

@@ -102,6 +102,9 @@ def test_distances_are_true(spark):
     words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     pivots = ["", "ca", "abcabc", "bbbbbbbbb", "acbacb"]
     assert [list(map(int, r)) for r in variants.distances(words, pivots)] == [[damerau(w, p, 99) for p in pivots] for w in words]
+    x, y = zip(*[(a, b) for a in words for b in words[:40]])
+    for limit in (1, 2, 3):
+        assert list(variants.within(list(x), list(y), limit)) == [damerau(a, b, limit) <= limit for a, b in zip(x, y)]
 
 
 def test_variants_are_linked(spark):
