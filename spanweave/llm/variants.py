@@ -3,9 +3,11 @@
 1. Given names, trades and their short forms are learned from the names: a mark stands beside
    many different words, a family's or firm's own name beside few, and a short form stands
    beside the same ones as the word it is short for.
-2. Distinct own names (stems), not mentions, are compared, in the metric space of the true
-   Damerau-Levenshtein distance. Pivots are stems far from each other, about as many as the
-   root of the number of stems. A stem's home is the cell of its nearest pivot. If y within
+2. Distinct names, not mentions, are compared. Their distance is the true Damerau-Levenshtein
+   distance of their own names (stems), plus, where their marks can never be the same (another
+   trade, another first letter of the given name), a weight above all such distances. Pivots
+   are stems far from each other, each under every mark; a name's home is the cell of its
+   nearest pivot, which has its own mark. If y within
    the radius r of x is at home in cell j, then by the triangle inequality x is at most 2 r
    farther from pivot j than from its own, and its distance to every pivot is within r of the
    distances that the stems at home in j have; x is copied into the cells that pass both, and
@@ -173,12 +175,13 @@ def bags(words: list[str]) -> np.ndarray:
 
 
 def placed_in_cells(words: DataFrame, radius: int, cells: int | None = None) -> DataFrame:
-    """``w``, ``c`` (cell), ``home`` and ``v`` (distances to the first pivots) of distinct words
-    ``w``: each in its home cell and in every later one that can hold a word within ``radius``."""
+    """``m``, ``w``, ``c`` (cell), ``home`` and ``v`` (distances to the first pivots) of distinct
+    words ``w`` under marks ``m``: each in its home cell and in every later one of its mark that
+    can hold a word within ``radius``."""
     spark = words.sparkSession
-    n = words.count()
-    k = cells or max(4, math.ceil(math.sqrt(n)))
-    sample = [r.w for r in words.where(F.length("w") <= WIDE).orderBy(F.xxhash64("w")).limit(max(CHOICES, CHOICE * k)).collect()]
+    size = words.agg(F.count("*").alias("n"), F.approx_count_distinct("m").alias("m")).first()
+    k = cells or max(4, math.ceil(math.sqrt(size.n / max(size.m, 1))))
+    sample = [r.w for r in words.where(F.length("w") <= WIDE).select("w").distinct().orderBy(F.xxhash64("w")).limit(max(CHOICES, CHOICE * k)).collect()]
     pivots = far_apart(sample, k)
     if not pivots:  # no word, or long ones only, all of one cell
         pivots = ["a"]
@@ -187,10 +190,10 @@ def placed_in_cells(words: DataFrame, radius: int, cells: int | None = None) ->
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = distances(batch.column(0).to_pylist(), pivots)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(axis=1), pa.int32()), pa.array([x.tobytes() for x in d], pa.binary())], ["w", "c", "d"])
+                d = distances(batch.column(1).to_pylist(), pivots)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.argmin(axis=1), pa.int32()), pa.array([x.tobytes() for x in d], pa.binary())], ["m", "w", "c", "d"])
 
-    measured = cut(words.repartition(tasks(spark), "w").mapInArrow(measure, "w string, c int, d binary"))
+    measured = cut(words.select("m", "w").repartition(tasks(spark), "w").mapInArrow(measure, "m string, w string, c int, d binary"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = np.full((k, k), 255, np.uint8), np.zeros((k, k), np.uint8)
@@ -214,8 +217,8 @@ def placed_in_cells(words: DataFrame, radius: int, cells: int | None = None) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home = batch.column(1).to_numpy(zero_copy_only=False)
-            raw = batch.column(2).to_pylist()
+            home = batch.column(2).to_numpy(zero_copy_only=False)
+            raw = batch.column(3).to_pylist()
             d = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, k).astype(np.int16)
             near = (d <= d.min(axis=1, keepdims=True) + 2 * radius) & (np.arange(k)[None, :] > home[:, None])
             row, cell = np.nonzero(near)
@@ -225,23 +228,23 @@ def placed_in_cells(words: DataFrame, radius: int, cells: int | None = None) ->
             row, cell = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(cell, pa.int32()), pa.array(home[row] == cell, pa.bool_()), pa.array([raw[n][:HELD] for n in row], pa.binary())], ["w", "c", "home", "v"])
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(cell, pa.int32()), pa.array(home[row] == cell, pa.bool_()), pa.array([raw[n][:HELD] for n in row], pa.binary())], ["m", "w", "c", "home", "v"])
 
-    return measured.mapInArrow(place, "w string, c int, home boolean, v binary")
+    return measured.mapInArrow(place, "m string, w string, c int, home boolean, v binary")
 
 
-def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | None = None) -> DataFrame:
-    """Pairs ``a`` < ``b`` of distinct words at most ``edits`` apart (Damerau-Levenshtein).
-    Null and empty words pair with nothing; repeated words count once."""
-    rows = cut(words.select(F.col(word).alias("w")).where("length(w) > 0").distinct())
+def radius_join(words: DataFrame, word: str, mark: str, edits: int = EDITS, cells: int | None = None) -> DataFrame:
+    """Pairs ``a`` < ``b`` of distinct words under one mark at most ``edits`` apart
+    (Damerau-Levenshtein). Null and empty words and null marks pair with nothing; repeated rows
+    count once, and a pair under several marks too."""
+    rows = cut(words.select(F.col(mark).alias("m"), F.col(word).alias("w")).where("length(w) > 0 and m is not null").distinct())
     placed = cut(placed_in_cells(rows, edits, cells))
-    sizes = placed.groupBy("c").agg(F.sum(F.col("home").cast("long")).alias("n_home"), F.count("*").alias("n_all")).where("n_home > 0")
-    # As many rows as cells, the root of the words' number.
-    blocks = sizes.select("c", F.ceil(F.col("n_home") / HOME_BLOCK).alias("nh"), F.ceil(F.col("n_all") / CELL_BLOCK).alias("na"))
-    sized = placed.join(blocks, "c")
+    sizes = placed.groupBy("m", "c").agg(F.sum(F.col("home").cast("long")).alias("n_home"), F.count("*").alias("n_all")).where("n_home > 0")
+    blocks = sizes.select("m", "c", F.ceil(F.col("n_home") / HOME_BLOCK).alias("nh"), F.ceil(F.col("n_all") / CELL_BLOCK).alias("na"))
+    sized = placed.join(blocks, ["m", "c"])
     at_home = sized.where("home").withColumn("x", F.pmod(F.xxhash64("w"), F.col("nh"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)))
     inside = sized.withColumn("y", F.pmod(F.xxhash64("w"), F.col("na"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1)))
-    cols = ["c", "x", "y", "w", "v", "home"]
+    cols = ["m", "c", "x", "y", "w", "v", "home"]
 
     def near(x: list[str], y: list[str], edits: int) -> np.ndarray:
         """``within``, long words one by one."""
@@ -253,7 +256,7 @@ def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | No
             out[k] = damerau(x[k], y[k], edits) <= edits
         return out
 
-    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(words.sparkSession), "c", "x", "y").sortWithinPartitions("c", "x", "y")
+    groups = at_home.select(*cols, F.lit(True).alias("left")).unionByName(inside.select(*cols, F.lit(False).alias("left"))).repartition(tasks(words.sparkSession), "m", "c", "x", "y").sortWithinPartitions("m", "c", "x", "y")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, left, right = None, [], []
@@ -294,16 +297,16 @@ def radius_join(words: DataFrame, word: str, edits: int = EDITS, cells: int | No
             return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
         for batch in batches:
-            for c, x, y, w, v, home, is_left in zip(*(col.to_pylist() for col in batch.columns)):
-                if (c, x, y) != key:
+            for m, c, x, y, w, v, home, is_left in zip(*(col.to_pylist() for col in batch.columns)):
+                if (m, c, x, y) != key:
                     if left:
                         yield flush()
-                    key, left, right = (c, x, y), [], []
+                    key, left, right = (m, c, x, y), [], []
                 (left if is_left else right).append((w, v, home))
         if left:
             yield flush()
 
-    return groups.mapInArrow(join, "a string, b string")
+    return groups.mapInArrow(join, "a string, b string").distinct()
 
 
 def private_sides(rows: DataFrame, key: str, name: str, french: str, authorities: list[str]) -> DataFrame:
@@ -384,7 +387,8 @@ def link(found: DataFrame, cells: int | None = None) -> DataFrame:
     group = F.xxhash64("kind", "stem", "mark")
     spelled = cut(found.select("id", "kind", "stem", "marks").distinct())
     groups = cut(spelled.select("kind", "stem", F.explode_outer("marks").alias("mark")).distinct().withColumn("g", group))
-    near = radius_join(groups, "stem", cells=cells)
+    apart = F.concat("kind", F.lit(":"), F.when(F.col("kind") == "person", F.substring("mark", 1, 1)).otherwise(F.col("mark")))
+    near = radius_join(groups.withColumn("apart", F.coalesce(apart, F.concat("kind", F.lit("?")))), "stem", "apart", cells=cells)
     near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     side = lambda at, g: groups.select("kind", F.col("stem").alias(at), F.coalesce("mark", F.lit("")).alias("mark"), F.col("g").alias(g))
     # Equal marks of near stems; a spelling that can be several names joins them.

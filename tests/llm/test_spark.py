@@ -84,15 +84,16 @@ def test_radius_join_equals_brute_force(spark, cells):
                 k = rng.randrange(8)
                 v[k] = rng.choice([rng.choice("abcdefgh"), "", v[k] + rng.choice("abc")])
             words.append("".join(v))
-    df = spark.createDataFrame([(w, 1) for w in [*words, None, "", words[0]]], "w string, c int")
-    got = [tuple(r) for r in variants.radius_join(df, "w", cells=cells).collect()]
-    words = sorted(set(words))
-    want = {(a, b) for i, a in enumerate(words) for b in words[i + 1:] if damerau(a, b, 2) <= 2}
-    assert len(got) == len(set(got)) and set(got) == want and ("x" * 299 + "y", "x" * 300)[::-1] in want
+    rows = [(w, n % 2) for n, w in enumerate(words)] + [(words[0], 0), (words[0], 1), (None, 0), ("", 0), (words[1], None)]
+    df = spark.createDataFrame([(w, None if m is None else str(m), 1) for w, m in rows], "w string, m string, c int")
+    got = [tuple(r) for r in variants.radius_join(df, "w", "m", cells=cells).collect()]
+    held = sorted({(w, m) for w, m in rows if w and m is not None})
+    want = {(a, b) for a, m in held for b, k in held if a < b and m == k and damerau(a, b, 2) <= 2}
+    assert len(got) == len(set(got)) and set(got) == want and want
     if cells > 1:
-        placed = variants.placed_in_cells(df.select("w").where("length(w) > 0").distinct(), 2, cells)
-        assert placed.where("home").count() == len(words) and placed.where("home").select("c").distinct().count() == cells
-    assert variants.radius_join(df.limit(0), "w").count() == 0
+        placed = variants.placed_in_cells(df.select("m", "w").where("length(w) > 0 and m is not null").distinct(), 2, cells)
+        assert placed.where("home").count() == len(held) and placed.where("home").select("c").distinct().count() == cells
+    assert variants.radius_join(df.limit(0), "w", "m").count() == 0
 
 
 def test_distances_are_true(spark):
