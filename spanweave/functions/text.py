@@ -43,7 +43,7 @@ def name_key(text: Column) -> Column:
 
 def citation_key(text: Column) -> Column:
     """A neutral citation as it is compared: year, court, number; nothing else has a key."""
-    m = r"(\d{4})\s+([A-Z]{2,6})\s+(\d+)"
+    m = r"(\d{4})\s+([A-Z]{2,8})\s+(\d+)"
     return F.when(text.rlike(m), F.concat_ws(":", F.regexp_extract(text, m, 1), F.regexp_extract(text, m, 2), F.regexp_extract(text, m, 3)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import citation_key, squeeze
 
 # Fixed value: a neutral citation: year, court, number.
-PATTERN = r"\b(?:19|20)\d{2} [A-Z]{4} \d{1,4}\b"
+PATTERN = r"\b(?:19|20)\d{2} [A-Z]{2,8} \d{1,4}\b"
 
 
 def occurrences(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import details, hierarchies, relations, reports, structures, texts
+from . import details, hierarchies, predicates, relations, reports, structures, texts
 
-PARTS = (hierarchies, texts, relations, structures, details, reports)
+PARTS = (hierarchies, texts, relations, structures, details, reports, predicates)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -22,7 +22,7 @@ STAR = r"\*(\d{1,4})</page-number>"
 
 
 def label_families(spark: SparkSession, d: str) -> DataFrame:
-    """INF37, INF41, QRY26: families of node labels by kind of node."""
+    """INF37, QRY26: families of node labels by kind of node."""
     family = F.lit("other")
     for name, p in reversed(FAMILIES):
         family = F.when(F.col("label").rlike(p), name).otherwise(family)
@@ -39,14 +39,14 @@ def pinpoint_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_runs(spark: SparkSession, d: str) -> DataFrame:
-    """QRY25, REL12: pinpointed paragraphs collapsed to runs."""
+    """QRY25: pinpointed paragraphs collapsed to runs."""
     p = pinpoint_ranges(spark, d)
     w = Window.partitionBy("doc_id").orderBy("paragraph")
     return p.withColumn("g", F.col("paragraph") - F.row_number().over(w)).groupBy("doc_id", "g").agg(F.min("paragraph").alias("first"), F.max("paragraph").alias("last")).select("doc_id", "first", "last")
 
 
 def provision_references(spark: SparkSession, d: str) -> DataFrame:
-    """INS4, DOC2: references to provisions in texts."""
+    """INS4: references to provisions in texts."""
     t = table(spark, d, "documents").where(F.col("text").rlike(PROVISION))
     return t.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"({PROVISION})"), 1)).alias("reference")).groupBy("doc_id", "reference").agg(F.count("*").alias("times"))
 
@@ -59,14 +59,14 @@ def commentary_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_sequence(spark: SparkSession, d: str) -> DataFrame:
-    """NOT4, NOT16, CHK1: notes of a page that do not go on by one."""
+    """CHK1: notes of a page that do not go on by one."""
     w = Window.partitionBy("page_id").orderBy("note")
     n = commentary_edges(spark, d).select("page_id", "note").distinct()
     return n.withColumn("before", F.lag("note").over(w)).groupBy("page_id").agg(F.count("*").alias("notes"), F.sum(F.coalesce((F.col("note") - F.col("before") != 1).cast("int"), F.lit(0))).alias("breaks"))
 
 
 def journal_citations(spark: SparkSession, d: str) -> DataFrame:
-    """REL8, REL16, REL29: how often journals cite each decision, and in how many articles."""
+    """REL8, REL16: how often journals cite each decision, and in how many articles."""
     return commentary_edges(spark, d).groupBy("cited_key").agg(F.countDistinct("article_id").alias("articles"), F.count("*").alias("notes"))
 
 
@@ -77,7 +77,7 @@ def page_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markup_elements(spark: SparkSession, d: str) -> DataFrame:
-    """MKP1, MKP6, MKP7: elements of opinion texts by name."""
+    """MKP1: elements of opinion texts by name."""
     r = table(spark, d, "opinion_records").dropDuplicates(["id"]).select("id", F.explode("renditions").alias("r"))
     return r.select("id", F.explode(F.regexp_extract_all(F.col("r.text"), F.lit(TAG), 1)).alias("tag")).groupBy(F.lower("tag").alias("tag")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("opinions"))
 
@@ -112,14 +112,14 @@ def citation_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reporter_courts(spark: SparkSession, d: str) -> DataFrame:
-    """REL21, LNK1: courts that print in each reporter, and cases that cite it."""
+    """REL21: courts that print in each reporter, and cases that cite it."""
     courts = table(spark, d, "courts").select("dataset", F.explode("reporters").alias("reporter"))
     printed = reporter_citations(spark, d).groupBy("reporter").agg(F.countDistinct("case_id").alias("cases"))
     return courts.groupBy("reporter").agg(F.count("*").alias("courts")).join(printed, "reporter", "left").select("reporter", "courts", F.coalesce("cases", F.lit(0)).alias("cases"))
 
 
 def cited_names(spark: SparkSession, d: str) -> DataFrame:
-    """REL19, AUX18: names that readings cite, by name."""
+    """REL19: names that readings cite, by name."""
     r = table(spark, d, "readings").select("reading_id", F.explode("cited_names").alias("name")).distinct().where("name is not null")
     return r.groupBy(name_key(F.col("name")).alias("name_key")).agg(F.countDistinct("reading_id").alias("readings"))
 
@@ -140,13 +140,13 @@ def citation_reach(spark: SparkSession, d: str) -> DataFrame:
 
 
 def provider_readings(spark: SparkSession, d: str) -> DataFrame:
-    """SRC11, SRC12, AUX2: readings by provider and kind of source."""
+    """SRC11: readings by provider and kind of source."""
     r = table(spark, d, "readings").dropDuplicates(["reading_id"])
     return r.groupBy(F.col("input.provider").alias("provider"), F.col("input.source_kind").alias("source_kind")).agg(F.count("*").alias("readings"), F.countDistinct("revision").alias("revisions"), F.sum(F.length("input.text")).alias("n_chars"))
 
 
 def front_roles(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ28, OPN10: opinions by type and form of the author line."""
+    """Opinions by type and form of the author line."""
     o = table(spark, d, "opinion_records").dropDuplicates(["id"])
     form = F.when(F.col("author").isNull(), "none").when(F.col("author").rlike(r",\s*J\.?$"), "judge after comma").when(F.col("author").rlike(r"\sJ\.?$"), "judge").otherwise("name")
     return o.groupBy("opinion_type", form.alias("author_form")).agg(F.count("*").alias("opinions"))

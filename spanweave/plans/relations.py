@@ -50,7 +50,7 @@ def note_up(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_edges(spark: SparkSession, d: str) -> DataFrame:
-    """REL6, REL17: edges a store lists."""
+    """REL6: edges a store lists."""
     return C.listed(table(spark, d, "source_documents"), "document_id", "cases_cited_en")
 
 
@@ -69,7 +69,7 @@ def citation_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """REL22, REL23, REL33: names that lead to just one document."""
+    """REL22, REL23: names that lead to just one document."""
     named = stores.documents(spark, d).select(name_key(F.col("name")).alias("name_key"), "document_id").where("length(name_key) > 0")
     return named.groupBy("name_key").agg(F.count("*").alias("documents"), F.min("document_id").alias("document_id")).where("documents = 1").select("name_key", "document_id")
 
@@ -92,7 +92,7 @@ def ranked_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boolean_hits(spark: SparkSession, d: str) -> DataFrame:
-    """SCH1, SCH2: all documents that answer a query with a prefix and a phrase."""
+    """SCH1: all documents that answer a query with a prefix and a phrase."""
     from ..functions.text import words
 
     node = S.parse('munic* AND "in my view" NOT coroner')
@@ -107,9 +107,17 @@ def hit_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def late_hits(spark: SparkSession, d: str) -> DataFrame:
-    """As-of: rows listed earlier than the latest listing among smaller ids, by month."""
-    hits = table(spark, d, "search_hits").select("hit_id", "listed_at").distinct()
-    return hits.groupBy(F.date_format(F.date_trunc("month", "listed_at"), "yyyy-MM").alias("month")).agg(F.count("*").alias("hits"), F.min("hit_id").alias("first_id"), F.max("hit_id").alias("last_id"))
+    """As-of: hits listed earlier than the latest listing among smaller ids, with that listing.
+
+    The running maximum is taken inside ranges of ids and carried over the ranges' maxima, so
+    no window holds more than a range of hits or one row for each range."""
+    hits = table(spark, d, "search_hits").where("hit_id is not null and listed_at is not null").groupBy("hit_id").agg(F.min("listed_at").alias("listed_at"))
+    ranged = hits.withColumn("range", F.floor(F.col("hit_id") / 4096))
+    inside = Window.partitionBy("range").orderBy("hit_id").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("range").agg(F.max("listed_at").alias("top")).select("range", F.max("top").over(over).alias("carried"))
+    seen = ranged.withColumn("own", F.max("listed_at").over(inside)).join(carried, "range").withColumn("latest", F.greatest("own", "carried"))
+    return seen.where("listed_at < latest").select("hit_id", F.unix_micros("listed_at").alias("listed_at"), F.unix_micros("latest").alias("latest"))
 
 
 def node_order(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +131,7 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def smallest_container(spark: SparkSession, d: str) -> DataFrame:
-    """QRY9, QRY10, REL3: the line that holds each citation."""
+    """QRY9, REL3: the line that holds each citation."""
     docs = _docs(spark, d)
     lines = L.lines(docs, "doc_id", "text").select(F.col("doc_id").alias("document_id"), F.col("line_no").alias("id"), "start_at", "end_at")
     points = C.occurrences(docs, "doc_id", "text").select(F.col("doc_id").alias("document_id"), F.col("start_at").alias("at"))
@@ -176,7 +184,7 @@ def entity_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OCC = r"""
-o AS (SELECT doc_id, citation, document_date, text, regexp_extract_all(text, '\b(?:19|20)\d{2} [A-Z]{4} \d{1,4}\b') AS cs, regexp_split_to_array(text, '\b(?:19|20)\d{2} [A-Z]{4} \d{1,4}\b') AS bs FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, citation, document_date, text, regexp_extract_all(text, '\b(?:19|20)\d{2} [A-Z]{2,8} \d{1,4}\b') AS cs, regexp_split_to_array(text, '\b(?:19|20)\d{2} [A-Z]{2,8} \d{1,4}\b') AS bs FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, citation, document_date, text, unnest(cs) AS c, generate_subscripts(cs, 1) AS n, cs, bs FROM o),
 oc AS (SELECT doc_id, citation, document_date, text, n::INT AS occurrence, (list_sum(list_transform(bs[:n], lambda b: length(b))) + coalesce(list_sum(list_transform(cs[:n - 1], lambda b: length(b))), 0))::INT AS start_at, replace(c, ' ', ':') AS cited_key FROM x)"""
 _KEY = r"CASE WHEN regexp_matches({c}, '(\d{{4}})\s+([A-Z]{{2,6}})\s+(\d+)') THEN regexp_extract({c}, '(\d{{4}})\s+([A-Z]{{2,6}})\s+(\d+)', 1) || ':' || regexp_extract({c}, '(\d{{4}})\s+([A-Z]{{2,6}})\s+(\d+)', 2) || ':' || regexp_extract({c}, '(\d{{4}})\s+([A-Z]{{2,6}})\s+(\d+)', 3) END"
@@ -217,7 +225,9 @@ SQL = {
     "boolean_hits": f"""WITH w AS (SELECT doc_id, {_W} AS ws FROM documents WHERE text IS NOT NULL)
  SELECT doc_id FROM w WHERE len(list_filter(ws, lambda x: starts_with(x, 'munic'))) > 0 AND contains(' ' || array_to_string(ws, ' ') || ' ', ' in my view ') AND NOT list_contains(ws, 'coroner')""",
     "hit_listing": "WITH h AS (SELECT DISTINCT * FROM search_hits WHERE cluster_id IS NOT NULL) SELECT cluster_id, hit_id, row_number() OVER (PARTITION BY cluster_id ORDER BY listed_at DESC, hit_id)::INT AS rank FROM h",
-    "late_hits": "WITH h AS (SELECT DISTINCT hit_id, listed_at AT TIME ZONE 'UTC' AS t FROM search_hits) SELECT strftime(date_trunc('month', t), '%Y-%m') AS month, count(*) AS hits, min(hit_id) AS first_id, max(hit_id) AS last_id FROM h GROUP BY 1",
+    "late_hits": """WITH h AS (SELECT hit_id, min(epoch_us(listed_at)) AS t FROM search_hits WHERE hit_id IS NOT NULL AND listed_at IS NOT NULL GROUP BY 1),
+ w AS (SELECT hit_id, t, max(t) OVER (ORDER BY hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM h)
+ SELECT hit_id, t AS listed_at, latest FROM w WHERE t < latest""",
     "node_order": f"WITH {_ND} SELECT document_id, id, kind, start_at, end_at, row_number() OVER (PARTITION BY document_id ORDER BY start_at ASC NULLS FIRST, end_at DESC NULLS LAST, label ASC NULLS LAST, id)::INT AS position FROM n",
     "label_lookup": f"""WITH {_ND} SELECT document_id, regexp_replace(lower(label), '^(s\\.|para\\.?|art\\.?)\\s*|[().\\s]', '', 'g') AS label, count(*) AS nodes, min(start_at) AS first_at, CASE count(*) WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status
  FROM n WHERE kind = 'section' AND label IS NOT NULL GROUP BY document_id, regexp_replace(lower(label), '^(s\\.|para\\.?|art\\.?)\\s*|[().\\s]', '', 'g')""",

@@ -16,7 +16,7 @@ BUDGET = 2000
 
 
 def text_windows(spark: SparkSession, d: str) -> DataFrame:
-    """QRY3, QRY4: windows of lines: a line belongs to the window in which it starts."""
+    """QRY3: windows of lines: a line belongs to the window in which it starts."""
     rows = L.lines(table(spark, d, "documents"), "doc_id", "text").where("line <> ''")
     return rows.groupBy("doc_id", F.floor(F.col("start_at") / BUDGET).cast("int").alias("window")).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sum(F.length("line")).alias("n_chars"))
 
@@ -37,7 +37,7 @@ def lint_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_opinion(spark: SparkSession, d: str) -> DataFrame:
-    """OPN4, OPN2: renditions of one opinion that share six-word places with the first: 5 % of
+    """OPN4: renditions of one opinion that share six-word places with the first: 5 % of
     the smaller set, or either empty."""
     o = table(spark, d, "opinion_records").dropDuplicates(["id"]).where("size(renditions) > 1")
     r = o.select("id", F.posexplode("renditions").alias("n", "r"), F.get("renditions", 0)["text"].alias("first")).where("n > 0")

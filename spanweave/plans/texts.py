@@ -22,7 +22,7 @@ def document_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_classes(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ15-PRJ30: classes of lines counted by document."""
+    """Classes of lines counted by document."""
     rows = L.lines(table(spark, d, "documents"), "doc_id", "text")
     return rows.groupBy("doc_id", L.line_class(F.col("line")).alias("line_class")).agg(F.count("*").alias("n"))
 
@@ -54,7 +54,7 @@ def text_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_documents(spark: SparkSession, d: str) -> DataFrame:
-    """SRC6-SRC11: store documents with language fallback."""
+    """SRC6, SRC9: store documents with language fallback."""
     return stores.documents(spark, d).select("document_id", "doc_type", "dataset", "citation", "name", "document_date")
 
 
@@ -79,7 +79,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_fragments(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ5-PRJ7, QRY22: link names of nodes."""
+    """PRJ5, QRY22: link names of nodes."""
     n = table(spark, d, "structure_nodes").dropDuplicates(["document_id", "id"])
     return n.select("document_id", "id", T.statute_fragment(F.col("kind"), F.col("label")).alias("fragment"), T.ordinal(F.col("label")).alias("ordinal")).where("fragment is not null")
 
