@@ -8,9 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "6g") -> SparkSession:
-    """A session for tests and benches on one machine."""
-    return (
+def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "6g", shared: str | None = None) -> SparkSession:
+    """A session for tests and benches on one machine; ``shared`` is its folder for cut lineage."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spanweave")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -21,8 +21,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "6g")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", "16m")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
