@@ -201,6 +201,17 @@ def test_twins_without_a_date_are_kept(spark):
     assert {r.document_id: r.day for r in matching.match(spark, cases, docs, about).collect()} == {51: 4, 52: 3, 54: 0, 55: 3}
 
 
+def test_calibration_counts_every_candidate(spark):
+    """More candidates than were once sampled; what reaches the driver is bounded by the cosines."""
+    n = 150_000
+    judged = spark.range(n).selectExpr("cast(0.4 + (id % 6000) / 10000 as float) AS cosine", "cast(case when id % 6000 > 3000 and id % 10 < 9 then 4 when id % 50 = 0 then 2 else -1 end as int) AS day", "id % 3 > 0 AS full")
+    counts = matching.agreements(judged)
+    assert sum(c[3] for c in counts) == n and len(counts) < 5_000
+    fit = matching.calibrate(counts)
+    assert fit != matching.Fit() and fit.slope > 0 and fit.low < 0.05 < 0.9 < fit.high < 1
+    assert matching.calibrate([]) == matching.Fit()
+
+
 def test_garbled_values(spark):
     df = spark.createDataFrame([(1, "prÃ©", None), (2, "pré", ""), (1, "prÃ©", None), (3, None, "l�")], "id long, a string, b string")
     assert {(r.record_id, r.field, r.restored, r.complete) for r in mojibake.find(df, "id", ["a", "b"], "t").collect()} == {(1, "a", "pré", True), (3, "b", "l�", False)}
