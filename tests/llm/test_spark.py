@@ -212,6 +212,26 @@ def test_calibration_counts_every_candidate(spark):
     assert matching.calibrate([]) == matching.Fit()
 
 
+def test_every_record_trains_the_vectors(spark, monkeypatch):
+    """Records in several blocks: each has a token of its own, and walks reach them all but for chance."""
+    import numpy as np
+
+    n, half = 9_000, 200
+    rows = spark.range(n).selectExpr("'c' AS side", "id", "array(cast(id as int), cast(10000 + id % 200 as int), cast(11000 + id % 200 as int)) AS slots", "array(0, 1, 2) AS kinds", "cast(id as string) AS about")
+    base = matching.base_vectors()
+    whole = matching.train(spark, rows, n)
+    assert (np.abs(whole[:n] - base[:n]).max(axis=1) > 1e-4).mean() > 0.95  # chance alone leaves a few unvisited
+    assert np.array_equal(whole[12_000:], matching.base_vectors()[12_000:] / np.linalg.norm(base[12_000:], axis=1, keepdims=True))
+    monkeypatch.setattr(matching, "BLOCK", 1_000)
+    monkeypatch.setattr(matching, "ROUNDS", 6)
+    parts = matching.train(spark, rows.repartition(7), n)
+    assert np.array_equal(parts, matching.train(spark, rows, n))
+    beside = (parts[10_000:10_000 + half] * parts[11_000:11_000 + half]).sum(1).mean()
+    other = (parts[10_000:10_000 + half] * parts[11_000 + np.roll(np.arange(half), 7)]).sum(1).mean()
+    assert beside > other + 0.02
+    assert matching.train(spark, rows.limit(0), 0).shape == base.shape
+
+
 def test_garbled_values(spark):
     df = spark.createDataFrame([(1, "prÃ©", None), (2, "pré", ""), (1, "prÃ©", None), (3, None, "l�")], "id long, a string, b string")
     assert {(r.record_id, r.field, r.restored, r.complete) for r in mojibake.find(df, "id", ["a", "b"], "t").collect()} == {(1, "a", "pré", True), (3, "b", "l�", False)}
