@@ -152,6 +152,25 @@ def test_marks_are_learned_from_any_vocabulary(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
 
 
+def test_words_of_a_cell_are_not_compared_in_pairs(monkeypatch):
+    """Candidates hold all near pairs, and grow with the words, not with their pairs."""
+    from spanweave.llm.names import damerau
+
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 9))) for _ in range(300)})
+    want = {(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if damerau(a, b, 2) <= 2}
+    for hashes, shared in ((1 << 21, 1 << 20), (500, 50)):
+        monkeypatch.setattr(variants, "HASHES", hashes)
+        monkeypatch.setattr(variants, "SHARED", shared)
+        got = {(int(i), int(j)) for x, y in variants.sharing(words, words, 2) for i, j in zip(x, y)}
+        assert want <= got
+    monkeypatch.undo()
+    made = lambda n: list(dict.fromkeys("".join(rng.choice("bdfgklmnrst") + rng.choice("aeiou") for _ in range(6)) for _ in range(n)))
+    compared = [sum(len(i) for i, _ in variants.sharing(w, w, 2)) for w in (made(1_000), made(8_000))]
+    assert compared[0] < 2_000 and compared[1] < 12 * compared[0]
+    assert not list(variants.sharing([], words, 2)) and not list(variants.sharing(["a" * 9], ["a"], 2))
+
+
 def test_matching(spark):
     cases = spark.createDataFrame([
         (1, "The King v. Oscar Vengulrow", "1999-03-04", ["12 Vel. R. 3"]), (2, "Oscar Vengulrow v. The King", None, ["[2005] 3 Vel. R. 3"]), (3, None, "1999-03-04", None), (4, "Re Ursula Bakenmarune", "March 4, 2001", []), (1, "The King v. Oscar Vengulrow", "1999-03-04", ["12 Vel. R. 3"])],
