@@ -117,6 +117,19 @@ def test_variants_are_linked(spark):
     assert variants.link(m.limit(0)).count() == 0 and variants.learn(sides.limit(0)).given == {}
 
 
+def test_initials_join_the_nearest_stems(spark):
+    """Another party two edits away does not keep an initial from its own; parties as near do."""
+    rows = [
+        (1, "numorlorkune", ["james"]), (2, "numorlorkune", ["j"]), (3, "numorlirkume", ["jonathan"]), (4, "numorlrkune", ["j"]), (5, "numorlirkume", ["j"]),
+        (6, "hulenvordith", ["elise"]), (7, "hulenvordith", ["edward"]), (8, "hulenvordith", ["e"]), (9, "hulenvordit", ["e"]), (10, "vekgam", ["a"]), (11, "vekgan", ["a"]),
+        (12, "samzolrin", ["f"]), (13, "samzolrinna", ["f"]), (14, "samzolrinnate", ["fred"])]
+    found = spark.createDataFrame([(i, "person", stem, marks, "") for i, stem, marks in rows], "id long, kind string, stem string, marks array<string>, middle string")
+    groups = {}
+    for r in variants.link(found).collect():
+        groups.setdefault(r.party, set()).add(r.id)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 4], [3, 5], [6], [7], [8, 9], [10, 11], [12, 13, 14]]
+
+
 def test_marks_are_learned_from_any_vocabulary(spark):
     """Names of a vocabulary of its own: given names, short forms, trades and typos that no list
     here holds. Links against the truth."""
