@@ -225,6 +225,22 @@ def test_matching_does_not_hang_on_buckets(spark, monkeypatch):
     assert len(want) > 20 and set(got) == want and all(-1 <= c <= 1.01 for c in got.values())
 
 
+def test_names_are_joined_without_broadcasts(spark):
+    """What stems leave after deletions is many times the stems, so no join of it is by broadcast,
+    however small Spark takes it to be."""
+    people = lambda stem: '{"people": [["person", "%s", "n", ""]], "dates": [[1990, 1, 2]], "date": [1990, 1, 2], "years": []}' % stem
+    rows = spark.createDataFrame([("c", 1, people("lilaribek")), ("d", 51, people("lilarbek")), ("d", 52, people("vengulrow"))], "side string, id long, about string")
+    seen, cut = [], matching.cut
+    try:
+        matching.cut = lambda df: (df.collect(), seen.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[2]
+        got = matching.by_name(spark, rows)
+    finally:
+        matching.cut = cut
+    assert [tuple(r) for r in got.collect()] == [(1, 51)]
+    plans = [*seen, got._jdf.queryExecution().executedPlan().toString()]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_twins_without_a_date_are_kept(spark):
     cases = spark.createDataFrame([(1, "R. v. Oscar Vengulrow", "1999-03-04", None)], "case_id long, case_name string, date_filed string, citations array<string>")
     docs = spark.createDataFrame([(51, "VLCA", "1999 VLCA 4", "1999-03-04"), (52, "VLCA", "1999 VLCA 4", None), (53, "VLCA", "1999 VLCA 7", None), (54, "VLCA", None, None), (55, "MHCA", "1999 MHCA 7", None)], "document_id long, dataset string, citation_en string, document_date_en string")
