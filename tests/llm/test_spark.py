@@ -241,6 +241,32 @@ def test_names_are_joined_without_broadcasts(spark):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_candidates_cost_little(monkeypatch):
+    """Sign counts tell the pairs of a bucket whole, block by block, and no names are compared
+    where days or courts differ."""
+    import json
+
+    import numpy as np
+
+    rng = random.Random(4)
+    stems = [[("".join(rng.choice("abcde") for _ in range(5))) for _ in range(rng.choice([0, 1, 1, 2, 4, 6]))] for _ in range(120)]
+    signs = [np.frombuffer(matching.sign_counts(json.dumps({"people": [["firm", s, "", ""] for s in x]})), np.uint64) for x in stems]
+    c, d = np.stack(signs[:70]), np.stack(signs[70:])
+    near = lambda a, b: (int(a) ^ int(b)).bit_count() <= 4
+    want = {
+        (i, j) for i, x in enumerate(c) for j, y in enumerate(d)
+        if max(len(stems[i]), len(stems[70 + j])) > matching.STEMS or all(any(near(a, b) for b in y if b) for a in x if a)}
+    got = [p for i, j in matching.stems_agree(c, d, 7) for p in zip(i.tolist(), j.tolist())]
+    assert set(got) == want and len(got) == len(want)
+    case = {"people": [1], "public": [], "sides": 1, "courts": {"A"}, "date": (1990, 1, 2), "years": []}
+    document = {"people": [1], "public": [], "sides": 1, "court": "A", "dates": [(1990, 1, 2)], "years": []}
+    asked = []
+    monkeypatch.setattr(matching, "same_party", lambda a, b: asked.append(1) or a == b)
+    assert matching.verdict(case, document) == (True, 4) and asked
+    asked.clear()
+    assert matching.verdict(case, document | {"dates": [(1991, 5, 2)]}) == matching.verdict(case, document | {"court": "B"}) == (False, 0) and not asked
+
+
 def test_twins_without_a_date_are_kept(spark):
     cases = spark.createDataFrame([(1, "R. v. Oscar Vengulrow", "1999-03-04", None)], "case_id long, case_name string, date_filed string, citations array<string>")
     docs = spark.createDataFrame([(51, "VLCA", "1999 VLCA 4", "1999-03-04"), (52, "VLCA", "1999 VLCA 4", None), (53, "VLCA", "1999 VLCA 7", None), (54, "VLCA", None, None), (55, "MHCA", "1999 MHCA 7", None)], "document_id long, dataset string, citation_en string, document_date_en string")
